@@ -12,17 +12,40 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from playlens.session import materialise
 
 ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in the low 33 bits
 
-FORWARD = Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-BACKWARD = Window.partitionBy("part").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-# Windows over the totals: one row per range.
-PARTS_BEFORE = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-PARTS_AFTER = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+def _so_far(spec: WindowSpec) -> WindowSpec:
+    return spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def forward() -> WindowSpec:
+    """The rows of a range up to this one."""
+    return _so_far(Window.partitionBy("part").orderBy("pos"))
+
+
+def backward() -> WindowSpec:
+    """The rows of a range from its end back to this one."""
+    return _so_far(Window.partitionBy("part").orderBy(F.desc("pos")))
+
+
+def before(spec: WindowSpec) -> WindowSpec:
+    """The same without the row itself."""
+    return spec.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def parts_before() -> WindowSpec:
+    """For the totals, one row per range: all earlier ranges."""
+    return before(Window.orderBy("part"))
+
+
+def parts_after() -> WindowSpec:
+    """For the totals, one row per range: all later ranges."""
+    return before(Window.orderBy(F.desc("part")))
 
 
 def ordered_layout(df: DataFrame, order: list, *, partitions: int | None = None) -> DataFrame:
@@ -55,7 +78,7 @@ def global_rank(df: DataFrame, order: list, name: str = "rank", *, partitions: i
     """``df`` with its row number in ``order``, from 1."""
     layout = ordered_layout(df, order, partitions=partitions)
     parts = per_part(layout, {"n": F.count("*")}).select(
-        "part", F.coalesce(F.sum("n").over(PARTS_BEFORE), F.lit(0)).alias("before")
+        "part", F.coalesce(F.sum("n").over(parts_before()), F.lit(0)).alias("before")
     )
     return with_parts(layout, parts).withColumn(name, F.col("before") + F.col("pos") + 1).drop("part", "pos", "before")
 
@@ -100,7 +123,7 @@ def assign_interval(
         F.lit(0 if closed else 1).alias("kind"),
         nothing.cast(points.schema[point_id].dataType).alias("id"),
         interval.alias("interval"),
-        nothing.cast(_struct_type(points)).alias("point"),
+        nothing.cast(points.schema).alias("point"),
     )
     rows = points.select(
         F.col(point).alias("at"),
@@ -111,9 +134,9 @@ def assign_interval(
     )
     layout = ordered_layout(starts.unionByName(rows), ["at", "kind", "id"], partitions=partitions)
     parts = per_part(layout, {"latest": F.max("interval")}).select(
-        "part", F.max("latest").over(PARTS_BEFORE).alias("before")
+        "part", F.max("latest").over(parts_before()).alias("before")
     )
-    latest = F.coalesce(F.max("interval").over(FORWARD), F.col("before"))
+    latest = F.coalesce(F.max("interval").over(forward()), F.col("before"))
     inside = F.col("at") <= F.col("held.end") if closed else F.col("at") < F.col("held.end")
     return (
         with_parts(layout, parts)
@@ -122,6 +145,3 @@ def assign_interval(
         .select("point.*", *[F.col(f"held.{name}").alias(name) for name in carry])
     )
 
-
-def _struct_type(df: DataFrame):
-    return df.schema

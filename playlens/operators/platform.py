@@ -14,6 +14,7 @@ def _bucketed(
     rows: DataFrame,
     aggregates: dict[str, Column],
     *,
+    metrics: tuple[str, ...] = (),
     name: str = "minute",
     bucket: int = 1,
     zone: str | None = None,
@@ -29,6 +30,8 @@ def _bucketed(
     passes of the repeated hour in autumn remain apart; ``local_group`` merges them instead.
     """
     rows = in_range(rows, as_of=as_of, minutes=minutes, start=start, end=end)
+    if metrics:
+        rows = rows.where(F.col("metric_name").isin(*metrics))
     rows = rows.withColumn(name, slice_minutes("timestamp", bucket))
     if zone and local_group:
         rows = rows.withColumn(name, local_text(name, zone))
@@ -36,11 +39,6 @@ def _bucketed(
     return result.withColumn(name, local_text(name, zone)) if zone and not local_group else result
 
 
-def _of(metrics: DataFrame, *names: str) -> DataFrame:
-    wanted = F.col("metric_name") == names[0] if len(names) == 1 else F.col("metric_name").isin(*names)
-    return metrics.where(wanted)
-
-
 def _max_of(name: str) -> Column:
     return F.max(F.when(F.col("metric_name") == name, F.col("metric_value")))
 
@@ -48,11 +46,12 @@ def _max_of(name: str) -> Column:
 def cpu_usage(metrics: DataFrame, **when) -> DataFrame:
     """Average and peak CPU in percent."""
     return _bucketed(
-        _of(metrics, v.CPU),
+        metrics,
         {
             "avg_cpu_pct": F.round(F.avg("metric_value") * 100, 2),
             "max_cpu_pct": F.round(F.max("metric_value") * 100, 2),
         },
+        metrics=(v.CPU,),
         **when,
     )
 
@@ -60,11 +59,12 @@ def cpu_usage(metrics: DataFrame, **when) -> DataFrame:
 def memory_usage(metrics: DataFrame, **when) -> DataFrame:
     """Average and peak memory in MB."""
     return _bucketed(
-        _of(metrics, v.MEMORY),
+        metrics,
         {
             "avg_memory_mb": F.round(F.avg("metric_value") / v.BYTES_PER_MB, 1),
             "max_memory_mb": F.round(F.max("metric_value") / v.BYTES_PER_MB, 1),
         },
+        metrics=(v.MEMORY,),
         **when,
     )
 
@@ -72,8 +72,9 @@ def memory_usage(metrics: DataFrame, **when) -> DataFrame:
 def network_ingress(metrics: DataFrame, **when) -> DataFrame:
     """Peak open connections and connection rate, side by side."""
     return _bucketed(
-        _of(metrics, v.CONNECTIONS, v.CONNECTION_RATE),
+        metrics,
         {"active_connections": _max_of(v.CONNECTIONS), "connections_per_sec": _max_of(v.CONNECTION_RATE)},
+        metrics=(v.CONNECTIONS, v.CONNECTION_RATE),
         **when,
     )
 
@@ -81,8 +82,9 @@ def network_ingress(metrics: DataFrame, **when) -> DataFrame:
 def network_connections(metrics: DataFrame, **when) -> DataFrame:
     """Peak open connections as a whole number."""
     return _bucketed(
-        _of(metrics, v.CONNECTIONS),
+        metrics,
         {"active_connections": F.max(F.round("metric_value").cast("bigint"))},
+        metrics=(v.CONNECTIONS,),
         **when,
     )
 
@@ -90,8 +92,9 @@ def network_connections(metrics: DataFrame, **when) -> DataFrame:
 def collector_throughput(metrics: DataFrame, **when) -> DataFrame:
     """Spans started and spans alive in the collector."""
     return _bucketed(
-        _of(metrics, v.SPANS_STARTED, v.SPANS_LIVE),
+        metrics,
         {"spans_started": _max_of(v.SPANS_STARTED), "spans_live": _max_of(v.SPANS_LIVE)},
+        metrics=(v.SPANS_STARTED, v.SPANS_LIVE),
         **when,
     )
 

@@ -19,16 +19,17 @@ that holds a large part of all events is no hot spot.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playlens.functions.predicates import is_event
 from playlens.functions.timefns import moment
 from playlens.operators.ordered import (
-    BACKWARD,
-    FORWARD,
-    PARTS_AFTER,
-    PARTS_BEFORE,
+    backward,
+    before,
+    forward,
+    parts_after,
+    parts_before,
     global_lead,
     global_rank,
     ordered_layout,
@@ -83,19 +84,19 @@ def _running(layout: DataFrame) -> DataFrame:
     """Running totals of the global order for every row."""
     start_time = F.when(_is("start"), F.col("timestamp"))
     over_time = F.when(_is("over"), F.col("timestamp"))
-    forward = {
+    ahead = {
         "session_id": F.count(start_time),
         "last_start": F.max(start_time),
         "last_over": F.max(over_time),
     }
-    backward = {
+    behind = {
         "next_start": F.min(start_time),
         "deaths_after": F.count(F.when(_is("death") & F.col("seen"), 1)),
         "level_rows_after": F.count(F.when(_is("level") & F.col("seen"), 1)),
         "levels_after": F.count(F.when(_is("last"), 1)),
         "top_level_after": F.max(F.when(_is("last"), F.col("level"))),
     }
-    parts = per_part(layout, {**forward, **backward})
+    parts = per_part(layout, {**ahead, **behind})
     combine = {
         "session_id": F.sum,
         "last_start": F.max,
@@ -108,8 +109,8 @@ def _running(layout: DataFrame) -> DataFrame:
     }
     carried = parts.select(
         "part",
-        *[combine[name](name).over(PARTS_BEFORE).alias(f"{name}_0") for name in forward],
-        *[combine[name](name).over(PARTS_AFTER).alias(f"{name}_0") for name in backward],
+        *[combine[name](name).over(parts_before()).alias(f"{name}_0") for name in ahead],
+        *[combine[name](name).over(parts_after()).alias(f"{name}_0") for name in behind],
     )
 
     def total(name: str, inside: Column) -> Column:
@@ -119,14 +120,13 @@ def _running(layout: DataFrame) -> DataFrame:
         return F.greatest(inside, outside) if combine[name] is F.max else F.least(inside, outside)
 
     # The next start must not be the row itself, so its window ends one row earlier.
-    strictly_after = BACKWARD.rowsBetween(Window.unboundedPreceding, -1)
-    windows = {**dict.fromkeys(forward, FORWARD), **dict.fromkeys(backward, BACKWARD), "next_start": strictly_after}
+    windows = {**dict.fromkeys(ahead, forward()), **dict.fromkeys(behind, backward()), "next_start": before(backward())}
     local = layout.select(
-        "*", *[column.over(windows[name]).alias(name) for name, column in {**forward, **backward}.items()]
+        "*", *[column.over(windows[name]).alias(name) for name, column in {**ahead, **behind}.items()]
     )
     joined = with_parts(local, carried)
     return joined.select(
-        *layout.columns, *[total(name, F.col(name)).alias(name) for name in [*forward, *backward]]
+        *layout.columns, *[total(name, F.col(name)).alias(name) for name in [*ahead, *behind]]
     )
 
 
