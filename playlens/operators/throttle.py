@@ -134,9 +134,10 @@ def key_throttle(spans: DataFrame, *, gap_ms: int = KEY_REPEAT_MS, slice_ms: int
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _whole_slices(batches):
             # The first row of a slice is the result of the walk.
-            known = frame["kept_before_ms"].notna().to_numpy()
-            before = frame["kept_before_ms"].ffill().to_numpy()[~known].astype(np.int64)
-            events = frame[~known].reset_index(drop=True)
+            is_event_row = frame["is_event"].to_numpy()
+            head = np.maximum.accumulate(np.where(is_event_row, 0, np.arange(len(frame))))
+            before = frame["at_ms"].to_numpy()[head][is_event_row]
+            events = frame[is_event_row].reset_index(drop=True)
             group, _, jump = _successors(events, gap_ms, slice_ms)
             open_ = np.flatnonzero(events["at_ms"].to_numpy() > before + gap_ms)
             heads = open_[np.unique(group[open_], return_index=True)[1]]
@@ -160,9 +161,17 @@ def key_throttle(spans: DataFrame, *, gap_ms: int = KEY_REPEAT_MS, slice_ms: int
         .mapInPandas(walk, f"{key_type}, kept_before_ms long")
     )
     time_type = spans.schema["timestamp"].dataType.simpleString()
+    heads = entered.select(
+        *SLICE,
+        F.col("kept_before_ms").alias("at_ms"),
+        F.lit(0).cast("bigint").alias("event_id"),
+        F.lit(None).cast(time_type).alias("timestamp"),
+        F.lit(False).alias("is_event"),
+    )
     return (
-        events.unionByName(entered, allowMissingColumns=True)
+        events.withColumn("is_event", F.lit(True))
+        .unionByName(heads)
         .repartition(*SLICE)
-        .sortWithinPartitions(*SLICE, F.col("kept_before_ms").asc_nulls_last(), "at_ms")
+        .sortWithinPartitions(*SLICE, "is_event", "at_ms")
         .mapInPandas(mark, f"event_id long, timestamp {time_type}, player_name string, key_name string")
     )
