@@ -53,13 +53,15 @@ def check_cardinality(left: DataFrame, right: DataFrame, on: list[str]) -> DataF
 
 
 def join_relationship(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join of a many-to-one relationship; ``right`` has one row per key.
+    """Inner join of a many-to-one relationship; refused if ``right`` repeats a key.
 
-    Left rows of hot keys meet their right row by broadcast and are not shuffled; at most
-    1 / HOT_SHARE right rows are sent. All other keys are joined as usual, and none of them holds
-    more than HOT_SHARE of the rows.
+    Left rows of hot keys meet their right row by broadcast and are not shuffled. There are at
+    most 1 / HOT_SHARE hot keys and one right row for each, so that is all that is sent. All other
+    keys are joined as usual, and none of them holds more than HOT_SHARE of the rows.
     """
     left, right = _complete(left, on), _complete(right, on)
+    if not right.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > 1).isEmpty():
+        raise ValueError(f"not a many-to-one relationship: the right side repeats values of {on}")
     counts = left.groupBy(*on).agg(F.count("*").alias("n"))
     hot = counts.where(F.col("n") > counts.agg(F.sum("n") * F.lit(HOT_SHARE)).scalar()).select(*on)
     hot_right = right.join(F.broadcast(hot), on, "left_semi")

@@ -91,7 +91,7 @@ def ingest_drop_malformed(t: Telemetry) -> DataFrame:
 
 @query
 def ingest_no_payload(t: Telemetry) -> DataFrame:
-    without = t.requests.where(ingest.payload_text().isNull())
+    without = t.requests.where(F.size(ingest.encoded_payloads()) == 0)
     return without.select("event_id", "request_uri")
 
 

@@ -87,11 +87,16 @@ def bind(statement: str, events: DataFrame) -> DataFrame:
 
 
 class Telemetry:
-    """Lazy frames over one data folder. Nothing is read until a result is asked for."""
+    """Lazy frames over one data folder. Nothing is read until a result is asked for.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    The event table is derived from the given events, unless a stored one is passed.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, event_table: DataFrame | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
+        if event_table is not None:
+            self.event_table = event_table
 
     @cached_property
     def events(self) -> DataFrame:

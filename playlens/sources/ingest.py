@@ -14,20 +14,14 @@ from playlens.sources.event_table import span_records
 from playlens.vocabulary import DEFAULT_PREFIX, DEFAULT_SERVICE, KNOWN_EVENTS, UNKNOWN_PLAYER
 
 # --- fixed values -----------------------------------------------------------
-TELEMETRY_PATH = "/telemetry"
-# path and query of a request URI; first non-empty ``d`` of the query
-PATH_PATTERN = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)"
-QUERY_PATTERN = r"^[^?#]*\?([^#]*)"
-PAYLOAD_PATTERN = r"(?:^|&)d=([^&]+)"
+# First non-empty ``d`` in the query of a request whose path starts with /telemetry.
+PAYLOAD_PATTERN = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?/telemetry[^?#]*\?(?:[^#]*?&)?d=([^&#]+)"
 # ----------------------------------------------------------------------------
 
 
-def payload_text(uri: str = "request_uri") -> Column:
-    """The decoded ``d`` of a telemetry request, or NULL for any other request."""
-    path = F.regexp_extract(uri, PATH_PATTERN, 1)
-    query = F.regexp_extract(uri, QUERY_PATTERN, 1)
-    encoded = F.nullif(F.regexp_extract(query, PAYLOAD_PATTERN, 1), F.lit(""))
-    return F.when(path.startswith(TELEMETRY_PATH), encoded)
+def encoded_payloads(uri: str = "request_uri") -> Column:
+    """The encoded payload of a telemetry request in an array; empty for any other request."""
+    return F.regexp_extract_all(uri, F.lit(PAYLOAD_PATTERN), F.lit(1))
 
 
 def resolve_player(header: Column | str, browser: Column | str) -> Column:
@@ -37,19 +31,39 @@ def resolve_player(header: Column | str, browser: Column | str) -> Column:
     return F.coalesce(F.nullif(F.trim(header), F.lit("")), F.nullif(browser, F.lit("")), F.lit(UNKNOWN_PLAYER))
 
 
-def telemetry_requests(requests: DataFrame) -> DataFrame:
-    """Requests that carry a payload, with its text and its attributes.
+def _last_wins(members: str) -> Column:
+    """``members`` with one entry per name: as in any JSON reader, the last one counts."""
+    names, entries = F.map_keys(members), F.map_entries(members)
+
+    def is_last(entry: Column, index: Column) -> Column:
+        return ~F.array_contains(F.slice(names, index + 2, F.size(names)), entry["key"])
+
+    repeated = F.size(F.array_distinct(names)) < F.size(names)
+    return F.when(repeated, F.map_from_entries(F.filter(entries, is_last))).otherwise(F.col(members))
+
 
-    ``attributes`` is NULL unless the text is a JSON object.
+def parse_objects(rows: DataFrame, payload: str = "payload") -> DataFrame:
+    """``rows`` with ``members``: the members of a JSON object as texts, NULL for any other text.
+
+    Reading the text as the only element of an array rejects what follows a complete object.
+    Exploding that array, rather than filtering on a column computed from it, has every payload
+    parsed once: a filter would be pushed below the column and parse it again.
     """
-    carrying = requests.withColumn("encoded", payload_text()).where(F.col("encoded").isNotNull())
-    decoded = carrying.withColumn("payload", F.try_url_decode("encoded"))
-    is_object = F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT")
-    attributes = F.from_json("payload", "map<string,string>")
-    return decoded.withColumn("attributes", F.when(is_object, attributes)).drop("encoded")
+    schema = "array<map<string,string>>"
+    array = F.from_json(F.concat(F.lit("["), payload, F.lit("]")), schema, {"allowSingleQuotes": "false"})
+    parsed = rows.withColumn("elements", array)
+    single = F.when(F.size("elements") == 1, F.col("elements"))
+    return parsed.select(*rows.columns, F.explode_outer(single).alias("members"))
+
+
+def telemetry_requests(requests: DataFrame) -> DataFrame:
+    """Requests that carry a payload, with its text and its members."""
+    carrying = requests.select("*", F.explode(encoded_payloads()).alias("encoded"))
+    decoded = carrying.withColumn("payload", F.try_url_decode("encoded")).drop("encoded")
+    return parse_objects(decoded)
 
 
-def event_name(attributes: Column | str = "attributes", prefix: str = DEFAULT_PREFIX) -> Column:
+def event_name(attributes: Column | str, prefix: str = DEFAULT_PREFIX) -> Column:
     attributes = F.col(attributes) if isinstance(attributes, str) else attributes
     return F.concat(F.lit(prefix), F.coalesce(F.try_element_at(attributes, F.lit("event")), F.lit("unknown")))
 
@@ -63,15 +77,16 @@ def stringify_attributes(attributes: Column, player: Column) -> Column:
 def ingest_requests(requests: DataFrame, *, prefix: str = DEFAULT_PREFIX) -> tuple[DataFrame, DataFrame]:
     """Parsed events, and the requests whose payload could not be parsed."""
     parsed = telemetry_requests(requests)
-    player = resolve_player("user_header", F.try_element_at("attributes", F.lit("player_name")))
-    good = parsed.where(F.col("attributes").isNotNull()).select(
+    members = parsed.where(F.col("members").isNotNull()).withColumn("members", _last_wins("members"))
+    player = resolve_player("user_header", F.try_element_at("members", F.lit("player_name")))
+    good = members.withColumn("player_name", player).select(
         "event_id",
         F.col("ts").alias("timestamp"),
-        event_name(prefix=prefix).alias("name"),
-        player.alias("player_name"),
-        stringify_attributes(F.col("attributes"), player).alias("attributes"),
+        event_name("members", prefix).alias("name"),
+        "player_name",
+        stringify_attributes(F.col("members"), F.col("player_name")).alias("attributes"),
     )
-    quarantine = parsed.where(F.col("attributes").isNull()).select("event_id", "ts", "request_uri", "payload")
+    quarantine = parsed.where(F.col("members").isNull()).select("event_id", "ts", "request_uri", "payload")
     return good, quarantine
 
 
