@@ -48,14 +48,21 @@ def parts_after() -> WindowSpec:
     return before(Window.orderBy(F.desc("part")))
 
 
+def parts_all() -> WindowSpec:
+    """For the totals, one row per range: all ranges."""
+    return Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def ordered_layout(df: DataFrame, order: list, *, partitions: int | None = None) -> DataFrame:
     """``df`` in global order, with ``part`` (range) and ``pos`` (row in the range), stored.
 
-    Storing pins the range limits, which come from a sample, for every later use.
+    The range limits come from a sample, for which Spark evaluates its input once more than for
+    the shuffle. ``df`` is therefore stored first, so that the source is read once. Storing the
+    result pins the limits for every later use.
     """
-    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-    row = F.monotonically_increasing_id()
-    numbered = ranged.sortWithinPartitions(*order).withColumn("row_id", row)
+    rows = materialise(df, "unordered")
+    ranged = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    numbered = ranged.sortWithinPartitions(*order).withColumn("row_id", F.monotonically_increasing_id())
     return materialise(
         numbered.withColumn("part", F.shiftright("row_id", ROW_BITS).cast("int"))
         .withColumn("pos", F.col("row_id").bitwiseAND(F.lit((1 << ROW_BITS) - 1)))

@@ -12,9 +12,9 @@ running totals in that order, the session it falls in and whether that session w
 * a session is over if the latest game over is later than the latest start;
 * what an open session sees is a total counted from the end of the timeline.
 
-After that one grouping by session number finishes the work. Rows are shuffled by time range and
-by time range number, never by session, and the grouping combines on the map side, so one session
-that holds a large part of all events is no hot spot.
+What is left for each session is its start, its end and its levels, joined by session number. All
+rows are shuffled by time range only, and levels are counted with a map-side combine, so one
+session that holds a large part of all events is no hot spot.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from playlens.operators.ordered import (
     before,
     forward,
     parts_after,
+    parts_all,
     parts_before,
     global_lead,
     global_rank,
@@ -36,6 +37,7 @@ from playlens.operators.ordered import (
     per_part,
     with_parts,
 )
+from playlens.session import materialise
 from playlens.vocabulary import FIRST_LEVEL
 
 # Order of rows with equal time: a start counts what happens at its own instant, and a game over
@@ -44,12 +46,8 @@ START, POINT, OVER = 0, 1, 2
 
 
 def _timeline(spans: DataFrame, as_of) -> DataFrame:
-    """Starts, game overs, deaths and level starts, and where each level was last started."""
-    kind = (
-        F.when(is_event("game_start"), START)
-        .when(is_event("game_over"), OVER)
-        .otherwise(POINT)
-    )
+    """Starts, game overs, deaths and level starts."""
+    kind = F.when(is_event("game_start"), START).when(is_event("game_over"), OVER).otherwise(POINT)
     what = (
         F.when(is_event("game_start"), "start")
         .when(is_event("game_over"), "over")
@@ -57,7 +55,7 @@ def _timeline(spans: DataFrame, as_of) -> DataFrame:
         .otherwise("level")
     )
     seen = F.lit(True) if as_of is None else F.col("timestamp") <= moment(spans, as_of)
-    rows = spans.where(is_event("game_start", "game_over", "death", "level_start")).select(
+    return spans.where(is_event("game_start", "game_over", "death", "level_start")).select(
         "timestamp",
         kind.alias("kind"),
         "event_id",
@@ -67,125 +65,138 @@ def _timeline(spans: DataFrame, as_of) -> DataFrame:
         F.when(is_event("game_start"), F.struct("player_name", "lives")).alias("opening"),
         F.when(is_event("game_over"), F.struct("coins", "session_duration")).alias("closing"),
     )
-    last_starts = (
-        spans.where(is_event("level_start") & seen & F.col("level").isNotNull())
-        .groupBy("level")
-        .agg(F.max("timestamp").alias("timestamp"), F.max("event_id").alias("event_id"))
-        .select("timestamp", F.lit(POINT).alias("kind"), "event_id", F.lit("last").alias("what"), F.lit(True).alias("seen"), "level")
-    )
-    return rows.unionByName(last_starts, allowMissingColumns=True)
 
 
 def _is(what: str) -> Column:
     return F.col("what") == what
 
 
+def _last_starts(layout: DataFrame) -> DataFrame:
+    """Where in the order each level was started last: one row per level."""
+    return (
+        layout.where(_is("level") & F.col("seen") & F.col("level").isNotNull())
+        .groupBy("level")
+        .agg(F.max(F.struct("part", "pos")).alias("place"))
+        .select("level", "place.part", "place.pos", F.lit("last").alias("what"))
+    )
+
+
+def _levels_from(last_starts: DataFrame) -> DataFrame:
+    """For each number of levels left behind, the largest level still to come.
+
+    A session that stays open plays the levels whose last start comes after its own start. With n
+    last starts before it, these are the levels after the n-th, and this table has their largest.
+    """
+    parts = per_part(last_starts, {"n": F.count("*"), "top": F.max("level")}).select(
+        "part",
+        F.coalesce(F.sum("n").over(parts_before()), F.lit(0)).alias("n_0"),
+        F.max("top").over(parts_after()).alias("top_0"),
+    )
+    local = last_starts.select(
+        "part", F.count("*").over(forward()).alias("n"), F.max("level").over(backward()).alias("top")
+    )
+    return with_parts(local, parts).select(
+        (F.col("n") + F.col("n_0") - 1).alias("levels_behind"), F.greatest("top", "top_0").alias("top_level_after")
+    )
+
+
 def _running(layout: DataFrame) -> DataFrame:
-    """Running totals of the global order for every row."""
+    """Every row with running totals of the global order."""
     start_time = F.when(_is("start"), F.col("timestamp"))
     over_time = F.when(_is("over"), F.col("timestamp"))
-    ahead = {
+    counts = {
         "session_id": F.count(start_time),
-        "last_start": F.max(start_time),
-        "last_over": F.max(over_time),
+        "deaths": F.count(F.when(_is("death"), 1)),
+        "deaths_seen": F.count(F.when(_is("death") & F.col("seen"), 1)),
+        "levels": F.count(F.when(_is("level"), 1)),
+        "levels_seen": F.count(F.when(_is("level") & F.col("seen"), 1)),
+        "levels_behind": F.count(F.when(_is("last"), 1)),
     }
-    behind = {
-        "next_start": F.min(start_time),
-        "deaths_after": F.count(F.when(_is("death") & F.col("seen"), 1)),
-        "level_rows_after": F.count(F.when(_is("level") & F.col("seen"), 1)),
-        "levels_after": F.count(F.when(_is("last"), 1)),
-        "top_level_after": F.max(F.when(_is("last"), F.col("level"))),
-    }
-    parts = per_part(layout, {**ahead, **behind})
-    combine = {
-        "session_id": F.sum,
-        "last_start": F.max,
-        "last_over": F.max,
-        "next_start": F.min,
-        "deaths_after": F.sum,
-        "level_rows_after": F.sum,
-        "levels_after": F.sum,
-        "top_level_after": F.max,
-    }
-    carried = parts.select(
+    parts = per_part(layout, {**counts, "last_start": F.max(start_time), "last_over": F.max(over_time)}).select(
         "part",
-        *[combine[name](name).over(parts_before()).alias(f"{name}_0") for name in ahead],
-        *[combine[name](name).over(parts_after()).alias(f"{name}_0") for name in behind],
+        *[F.coalesce(F.sum(name).over(parts_before()), F.lit(0)).alias(f"{name}_0") for name in counts],
+        *[F.sum(name).over(parts_all()).alias(f"{name}_all") for name in counts],
+        *[F.max(name).over(parts_before()).alias(f"{name}_0") for name in ("last_start", "last_over")],
     )
-
-    def total(name: str, inside: Column) -> Column:
-        outside = F.col(f"{name}_0")
-        if combine[name] is F.sum:
-            return inside + F.coalesce(outside, F.lit(0))
-        return F.greatest(inside, outside) if combine[name] is F.max else F.least(inside, outside)
-
-    # The next start must not be the row itself, so its window ends one row earlier.
-    windows = {**dict.fromkeys(ahead, forward()), **dict.fromkeys(behind, backward()), "next_start": before(backward())}
     local = layout.select(
-        "*", *[column.over(windows[name]).alias(name) for name, column in {**ahead, **behind}.items()]
+        "*",
+        *[column.over(forward()).alias(name) for name, column in counts.items()],
+        F.max(start_time).over(forward()).alias("last_start"),
+        F.max(over_time).over(before(forward())).alias("last_over"),
     )
-    joined = with_parts(local, carried)
-    return joined.select(
-        *layout.columns, *[total(name, F.col(name)).alias(name) for name in [*ahead, *behind]]
+    return with_parts(local, parts).select(
+        *layout.columns,
+        *[(F.col(name) + F.col(f"{name}_0")).alias(name) for name in counts],
+        *[F.col(f"{name}_all") for name in counts],
+        *[F.greatest(name, f"{name}_0").alias(name) for name in ("last_start", "last_over")],
     )
 
 
 def session_core(spans: DataFrame, *, as_of=None, partitions: int | None = None) -> DataFrame:
     """One row per game start with everything known about its session."""
-    layout = ordered_layout(_timeline(spans, as_of), ["timestamp", "kind", "event_id", "what"], partitions=partitions)
-    rows = _running(layout)
-
-    ends_session = _is("over") & (F.col("timestamp") > F.col("last_start"))
-    still_running = F.col("last_over").isNull() | (F.col("last_over") <= F.col("last_start"))
-    inside = lambda what: _is(what) & still_running
-
-    opening = F.struct(
-        "timestamp",
-        "opening",
-        "next_start",
-        "deaths_after",
-        "level_rows_after",
-        "levels_after",
-        "top_level_after",
+    layout = ordered_layout(_timeline(spans, as_of), ["timestamp", "kind", "event_id"], partitions=partitions)
+    last_starts = _last_starts(layout)
+    running = F.col("last_over").isNull() | (F.col("last_over") <= F.col("last_start"))
+    ends = _is("over") & (F.col("timestamp") > F.col("last_start"))
+
+    # Kept: starts, the first game over of each session, and levels started before it. Deaths were
+    # counted on the way. Stored, because three inputs of the joins below come from it.
+    rows = materialise(
+        _running(layout.unionByName(last_starts, allowMissingColumns=True))
+        .where((F.col("session_id") > 0) & (_is("start") | (running & (ends | _is("level")))))
+        .select(
+            "session_id",
+            "what",
+            "timestamp",
+            "level",
+            "opening",
+            "closing",
+            "deaths",
+            "levels",
+            (F.col("deaths_seen_all") - F.col("deaths_seen")).alias("deaths_after"),
+            (F.col("levels_seen_all") - F.col("levels_seen")).alias("level_rows_after"),
+            (F.col("levels_behind_all") - F.col("levels_behind")).alias("levels_after"),
+            "levels_behind",
+        ),
+        "sessions",
+    )
+    opened = rows.where(_is("start")).drop("what", "level", "closing")
+    closed = rows.where(_is("over")).select(
+        "session_id", F.struct("timestamp", "level", "closing", "deaths", "levels").alias("e")
     )
-    closing = F.struct("timestamp", "event_id", "level", "closing")
-    grouped = (
-        rows.where(F.col("session_id") > 0)
+    played = (
+        rows.where(_is("level") & F.col("level").isNotNull())
+        .groupBy("session_id", "level")
+        .agg(F.count("*").alias("n"))
         .groupBy("session_id")
-        .agg(
-            F.max(F.when(_is("start"), opening)).alias("s"),
-            F.min(F.when(ends_session, closing)).alias("e"),
-            F.count(F.when(inside("death"), 1)).alias("deaths_in"),
-            F.count(F.when(inside("level"), 1)).alias("level_rows_in"),
-            F.count_distinct(F.when(inside("level"), F.col("level"))).alias("levels_in"),
-            F.max(F.when(inside("level"), F.col("level"))).alias("top_level_in"),
-        )
+        .agg(F.count("level").alias("levels_in"), F.max("level").alias("top_level_in"))
     )
-    closed = F.col("e").isNotNull()
-
-    def pick(inside_column: str, after_column: str) -> Column:
-        return F.when(closed, F.col(inside_column)).otherwise(F.col(f"s.{after_column}"))
-
-    return grouped.select(
+    joined = (
+        opened.join(closed, "session_id", "left")
+        .join(played, "session_id", "left")
+        .join(_levels_from(last_starts), "levels_behind", "left")
+    )
+    ended = F.col("e").isNotNull()
+    return joined.select(
         "session_id",
-        F.col("s.opening.player_name").alias("player_name"),
-        F.col("s.opening.lives").alias("starting_lives"),
-        F.col("s.timestamp").alias("session_start"),
-        F.col("s.next_start").alias("next_session_start"),
+        F.col("opening.player_name").alias("player_name"),
+        F.col("opening.lives").alias("starting_lives"),
+        F.col("timestamp").alias("session_start"),
         F.col("e.timestamp").alias("session_end"),
         F.col("e.level").alias("final_level"),
         F.col("e.closing.coins").alias("final_coins"),
         F.col("e.closing.session_duration").alias("duration_seconds"),
-        pick("deaths_in", "deaths_after").alias("total_deaths"),
-        pick("level_rows_in", "level_rows_after").alias("level_rows"),
-        pick("levels_in", "levels_after").alias("levels_played"),
-        pick("top_level_in", "top_level_after").alias("highest_level"),
+        F.when(ended, F.col("e.deaths") - F.col("deaths")).otherwise(F.col("deaths_after")).alias("total_deaths"),
+        F.when(ended, F.col("e.levels") - F.col("levels")).otherwise(F.col("level_rows_after")).alias("level_rows"),
+        F.when(ended, F.coalesce("levels_in", F.lit(0))).otherwise(F.col("levels_after")).alias("levels_played"),
+        F.when(ended, F.col("top_level_in")).otherwise(F.col("top_level_after")).alias("highest_level"),
     )
 
 
-def session_match(core: DataFrame) -> DataFrame:
-    """Each start with the game over that ends it, or none."""
-    return core.select(
+def session_match(spans: DataFrame, core: DataFrame) -> DataFrame:
+    """Each start with the next one and with the game over that ends its session, or none."""
+    following = session_next_start(session_ids(spans)).select("session_id", "next_session_start")
+    return core.join(following, "session_id").select(
         "session_id",
         "session_start",
         "player_name",
@@ -222,7 +233,7 @@ def game_sessions(spans: DataFrame, *, as_of=None, partitions: int | None = None
     )
 
 
-def _starts(spans: DataFrame) -> DataFrame:
+def game_starts(spans: DataFrame) -> DataFrame:
     return spans.where(is_event("game_start")).select(
         "event_id", F.col("timestamp").alias("session_start"), "player_name", F.col("lives").alias("starting_lives")
     )
@@ -230,12 +241,12 @@ def _starts(spans: DataFrame) -> DataFrame:
 
 def session_ids(spans: DataFrame) -> DataFrame:
     """Starts numbered in time order."""
-    return global_rank(_starts(spans), ["session_start", "event_id"], "session_id")
+    return global_rank(game_starts(spans), ["session_start", "event_id"], "session_id")
 
 
-def session_next_start(spans: DataFrame) -> DataFrame:
+def session_next_start(starts: DataFrame) -> DataFrame:
     """Starts with the time of the next one."""
-    return global_lead(_starts(spans), "session_start", ["session_start", "event_id"], "next_session_start")
+    return global_lead(starts, "session_start", ["session_start", "event_id"], "next_session_start")
 
 
 def avg_stats(sessions: DataFrame, stats: DataFrame, *, single_row: bool = False) -> DataFrame:

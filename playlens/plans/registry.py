@@ -219,7 +219,7 @@ add(
 # --- sessions, order, relationships ---------------------------------------------
 
 add(
-    session_match=lambda t: sessions.session_match(sessions.session_core(t.spans)),
+    session_match=lambda t: sessions.session_match(t.spans, sessions.session_core(t.spans)),
     session_deaths=lambda t: sessions.session_deaths(sessions.session_core(t.spans)),
     session_levels=lambda t: sessions.session_levels(sessions.session_core(t.spans)),
     session_enrich=lambda t: sessions.game_sessions(t.spans),
@@ -232,7 +232,7 @@ add(
         sessions.game_sessions(t.spans), aggregates.player_stats(t.spans), single_row=True
     ),
     session_ids=lambda t: sessions.session_ids(t.spans),
-    session_next_start=lambda t: sessions.session_next_start(t.spans),
+    session_next_start=lambda t: sessions.session_next_start(sessions.game_starts(t.spans)),
     session_first_over=lambda t: sessions.session_core(t.spans)
     .where(F.col("session_end").isNotNull())
     .select("session_id", "session_end", "final_level", "final_coins"),

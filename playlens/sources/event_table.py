@@ -103,18 +103,20 @@ def split_by_record_type(event_table: DataFrame, service: str | None = DEFAULT_S
     return {kind: scan_service_records(event_table, service, kind) for kind in ("SPAN", "METRIC", "LOG")}
 
 
-def write_event_table(event_table: DataFrame, path: str, mode: str = "append") -> None:
-    """Store records by type and day, sorted by time inside each file.
+def write_event_table(event_table: DataFrame, path: str, mode: str = "append", *, by_day: bool = True) -> None:
+    """Store records by type, and by day, in time order.
 
-    The range partitioning keeps a file to one type and few days, and splits a day that holds
-    much of the data over many tasks.
+    Range partitioning on the type and the time gives every file a short span of time, which
+    Parquet statistics can skip, and splits a day that holds much of the data over many tasks.
+    Without ``by_day`` there is a folder per type only, for tables with few rows a day.
     """
-    rows = event_table.withColumn("event_date", F.to_date("timestamp"))
+    rows = event_table.withColumn("event_date", F.to_date("timestamp")) if by_day else event_table
+    folders = ["record_type", "event_date"] if by_day else ["record_type"]
     (
         rows.repartitionByRange("record_type", "timestamp", "event_id")
-        .sortWithinPartitions("record_type", "event_date", "timestamp")
+        .sortWithinPartitions("record_type", "timestamp")
         .write.mode(mode)
-        .partitionBy("record_type", "event_date")
+        .partitionBy(*folders)
         .parquet(path)
     )
 
