@@ -46,7 +46,7 @@ HEADLINE = (
     "ingest_requests",
     "vq_activity_summary",
     "stream_event_timeline",
-    "stream_ingest_requests",
+    "stream_ingest",
 )
 
 

@@ -23,7 +23,7 @@ from playlens.session import new_path
 from playlens.sources import bindings, event_table, ingest, live_store
 from playlens.sources.bindings import Telemetry, bind
 from playlens.streaming import live_tables
-from playlens.streaming.ingest import stream_ingest
+from playlens.streaming.ingest import stream_ingest as stream_requests
 from playlens.streaming.throttle import throttled_keys
 
 Query = Callable[[Telemetry], DataFrame]
@@ -504,10 +504,10 @@ def stream_closed_minutes(t: Telemetry) -> DataFrame:
 
 
 @query
-def stream_ingest_requests(t: Telemetry) -> DataFrame:
+def stream_ingest(t: Telemetry) -> DataFrame:
     path = new_path(t.spark, "event_table")
     requests = bind(bindings.REQUESTS, t.events_stream())
-    stream_ingest(
+    stream_requests(
         requests, path=path, checkpoint=new_path(t.spark, "checkpoint"), trigger=ONCE
     ).awaitTermination()
     return projections.game_events(event_table.read_event_table(t.spark, path)).select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,11 @@ def build_session(master: str | None = None, app: str = "playlens", **conf) -> S
     return builder.getOrCreate()
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="playlens-")
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
@@ -33,8 +39,7 @@ def work_dir(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="playlens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local_dir()
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 

@@ -95,6 +95,8 @@ class Telemetry:
     def __init__(self, spark: SparkSession, sf_dir: str, event_table: DataFrame | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
+        # Timestamps without zone hold UTC, so formatting and truncation must not shift them.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         if event_table is not None:
             self.event_table = event_table
 
