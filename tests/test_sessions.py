@@ -129,8 +129,7 @@ def plain(rows, as_of):
     return result
 
 
-@pytest.mark.parametrize("seed", range(6))
-@pytest.mark.parametrize("partitions", [1, 5, 40])
+@pytest.mark.parametrize(("seed", "partitions"), [(0, 1), (1, 5), (2, 40), (3, 5), (4, 5), (5, 40)])
 def test_equals_brute_force(spark, seed, partitions):
     rng = random.Random(seed)
     kinds = ["game_start", "game_over", "death", "level_start", "key_press"]
