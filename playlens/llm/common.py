@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from playlens.session import new_path
@@ -55,3 +55,8 @@ def store(df: DataFrame, name: str, **options) -> DataFrame:
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def window_of(*names: str) -> WindowSpec:
+    """All rows that agree in ``names``."""
+    return Window.partitionBy(*names)

@@ -8,10 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlens.llm import exact_dedup, simhash_dedup
+from playlens.llm import exact_dedup, simhash_dedup, substring_dedup, token_files
 from playlens.llm.common import read_table
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(read_table(spark, sf_dir, "documents"))[1].drop("indexed")
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(read_table(spark, sf_dir, "documents")).drop("text")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     return index.add(read_table(spark, sf_dir, "documents"))
@@ -23,6 +31,8 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_files": op2_token_files,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
 }
@@ -31,6 +41,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _CLASS = r"[\x20\x09-\x0D]"
 
 ORACLES: dict[str, str] = {
+    "op4_substring_dedup": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             s AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
+             o AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS n FROM s),
+             gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM o WHERE n > 1),
+             left_over AS (SELECT doc_id, list(word ORDER BY pos) AS kept
+                           FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d) AS each_word
+                           ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(len(kept), 0) AS n_removed,
+               sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
+        FROM d LEFT JOIN left_over USING (doc_id)""",
     "op6_exact_dedup": rf"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars,
                           sha256(regexp_replace(coalesce(text, ''), '{_CLASS}', '', 'g')) AS text_sha256
