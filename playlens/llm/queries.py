@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlens.llm import exact_dedup, simhash_dedup, substring_dedup, token_files
+from playlens.llm import exact_dedup, line_dedup, simhash_dedup, substring_dedup, token_files
 from playlens.llm.common import read_table
 
 
@@ -16,6 +16,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(read_table(spark, sf_dir, "documents"))[1].drop("indexed")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup(read_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", "keep_runs", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(read_table(spark, sf_dir, "documents")).drop("text")
 
@@ -32,6 +37,7 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
+    "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
@@ -41,6 +47,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _CLASS = r"[\x20\x09-\x0D]"
 
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS pos, unnest(lines) AS line
+                   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+             k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+             shared AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20
+                        GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+             f AS (SELECT k.*, coalesce(doc_id < last, false) AS gone FROM k LEFT JOIN shared USING (key)),
+             r AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, gone ORDER BY pos) AS run FROM f),
+             runs AS (SELECT doc_id, gone, min(pos) AS start, count(*) AS size FROM r GROUP BY doc_id, gone, run),
+             texts AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+                              sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+                       FROM f GROUP BY doc_id),
+             maps AS (SELECT doc_id, CASE WHEN arg_min(gone, start) THEN '0,' ELSE '' END
+                                     || string_agg(size::VARCHAR, ',' ORDER BY start) AS keep_runs FROM runs GROUP BY doc_id)
+        SELECT doc_id, n_lines, n_dropped, keep_runs, kept_sha256 FROM texts JOIN maps USING (doc_id)""",
     "op4_substring_dedup": rf"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
              s AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
