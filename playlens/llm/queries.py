@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlens.llm import exact_dedup, line_dedup, mixing, simhash_dedup, substring_dedup, token_files
+from playlens.llm import exact_dedup, line_dedup, mixing, secrets, simhash_dedup, substring_dedup, token_files
 from playlens.llm.common import read_table
 
 
@@ -25,6 +25,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(read_table(spark, sf_dir, "documents")).drop("text")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(docs))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     return index.add(read_table(spark, sf_dir, "documents"))
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_secrets": op5_secrets,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op9_mixing": op9_mixing,
