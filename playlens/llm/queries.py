@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlens.llm import exact_dedup, line_dedup, mixing, secrets, simhash_dedup, substring_dedup, token_files
+from playlens.llm import exact_dedup, language_id, line_dedup, mixing, secrets, simhash_dedup, substring_dedup, token_files
 from playlens.llm.common import read_table
 
 
@@ -44,6 +44,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.plan(read_table(spark, sf_dir, "documents")))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_line_dedup": op3_line_dedup,
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op9_mixing": op9_mixing,
+    "op10_language_id": op10_language_id,
 }
 
 #: Whitespace of the contracts as a DuckDB character class and as a string.
