@@ -8,10 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlens.llm import exact_dedup, language_id, line_dedup, mixing, secrets, simhash_dedup, substring_dedup, token_files
+from playlens.llm import decontamination, exact_dedup, language_id, line_dedup, mixing, secrets, simhash_dedup, substring_dedup, token_files
 from playlens.llm.common import read_table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(read_table(spark, sf_dir, "documents"))[1].drop("indexed")
 
@@ -50,6 +54,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_files": op2_token_files,
     "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
@@ -64,6 +69,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _CLASS = r"[\x20\x09-\x0D]"
 
 ORACLES: dict[str, str] = {
+    "op1_decontamination": r"""
+        WITH it AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark),
+             ibag AS (SELECT item_id, len(w) AS size, array_to_string(w[i:i + 4], ' ') AS shingle, count(*) AS m
+                      FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM it WHERE len(w) >= 5) AS x GROUP BY ALL),
+             iw AS (SELECT item_id, sum(m * length(shingle)) AS weight FROM ibag GROUP BY item_id),
+             d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
+             sh AS (SELECT doc_id, i, len(w) AS n, array_to_string(w[i:i + 4], ' ') AS shingle
+                    FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5) AS x),
+             win AS (SELECT DISTINCT doc_id, item_id, size, unnest(range(greatest(1, i - size + 5), least(i, n - size + 1) + 1)) AS s
+                     FROM sh JOIN ibag USING (shingle) WHERE n >= size),
+             bag AS (SELECT doc_id, item_id, s, shingle, count(*) AS c FROM win JOIN sh USING (doc_id)
+                     WHERE i BETWEEN s AND s + size - 5 GROUP BY ALL),
+             sim AS (SELECT doc_id, item_id, s, sum(c * length(shingle)) AS mine,
+                            sum(CASE WHEN m IS NULL THEN 0 ELSE least(c, m) END * length(shingle)) AS common
+                     FROM bag LEFT JOIN ibag USING (item_id, shingle) GROUP BY ALL),
+             ok AS (SELECT doc_id, item_id, s, common::BIGINT AS common, (mine + weight - common)::BIGINT AS total
+                    FROM sim JOIN iw USING (item_id) WHERE common >= 0.8::DOUBLE * (mine + weight - common)::DOUBLE)
+        SELECT doc_id, item_id, (s - 1)::BIGINT AS start, common, total, common / total AS similarity
+        FROM ok QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common / total DESC, s) = 1""",
     "op3_line_dedup": r"""
         WITH l AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS pos, unnest(lines) AS line
                    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
