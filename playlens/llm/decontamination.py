@@ -176,6 +176,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows and columns of ``docs`` that match no item."""
-    bad = leaks(docs, benchmark, similarity).select(F.col("doc").alias("__leak_doc"), F.col("tie").alias("__leak_tie")).distinct()
+    bad = leaks(docs, benchmark, similarity).select(F.col("doc").alias("__leak_doc"), F.col("tie").alias("__leak_tie"))
+    bad = common.store(bad.distinct(), "leaks")
     same = docs["doc_id"].cast("long").eqNullSafe(bad["__leak_doc"]) & (F.xxhash64(common.whole_text()) == bad["__leak_tie"])
-    return docs.join(common.store(bad, "leaks"), same, "left_anti")
+    return docs.join(bad, same, "left_anti")

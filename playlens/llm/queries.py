@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlens.llm import decontamination, exact_dedup, language_id, line_dedup, mixing, secrets, simhash_dedup, substring_dedup, token_files
+from playlens.llm import decontamination, exact_dedup, language_id, line_dedup, mixing, secrets, simhash_dedup, substring_dedup, token_files, url_filter
 from playlens.llm.common import read_table
 
 
@@ -44,6 +44,10 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_dedup.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.plan(read_table(spark, sf_dir, "documents")))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
 }
