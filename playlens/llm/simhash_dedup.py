@@ -41,14 +41,16 @@ def fingerprint(raw: bytes, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long. No shuffle."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, tie, fp): hash of the text and fingerprint, as signed longs. No shuffle."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("fp", pa.int64())])
 
     def make(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column(0), "fp": [fingerprint(raw.as_py(), words) for raw in batch.column(1)]}
+        found = [fingerprint(raw.as_py(), words) for raw in batch.column(2)]
+        return {"doc_id": batch.column(0), "tie": batch.column(1), "fp": found}
 
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text().cast("binary").alias("raw"))
-    return raw.mapInArrow(common.arrow_rows(schema, make), "doc_id bigint, fp bigint")
+    text = common.whole_text()
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.cast("binary").alias("raw"))
+    return raw.mapInArrow(common.arrow_rows(schema, make), "doc_id bigint, tie bigint, fp bigint")
 
 
 def ball(fp: Column, radius: int) -> Column:
@@ -67,7 +69,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v): verified links that connect all distinct fingerprints ``fp`` at most ``radius`` bits apart."""
     if radius % 2:
         raise ValueError("the radius must be even: it is met from both sides")
-    spread = nodes.select("fp", F.explode(ball(F.col("fp"), radius // 2)).alias("variant"))
+    spread = nodes.repartition("fp").select("fp", F.explode(ball(F.col("fp"), radius // 2)).alias("variant"))
     met = spread.groupBy("variant").agg(F.collect_set("fp").alias("members")).filter(F.size("members") > 1)
     met = met.select(F.array_min("members").alias("v"), F.explode("members").alias("u"))
     close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).between(1, radius)
@@ -75,15 +77,15 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest id that links reach, one row per document."""
+    """(doc_id, tie, fp, component_id, root): the smallest id that links reach, one row per document."""
     prints = common.store(fingerprints(docs, words), "fingerprints")
     nodes = common.store(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     roots = connected_components(links(nodes, radius))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     rooted = common.store(rooted, "rooted")
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = common.store(rooted.join(names, "root").select(F.col("fp").alias("of"), "component_id"), "classes")
-    return prints.join(classes, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
+    classes = common.store(rooted.join(names, "root").select(F.col("fp").alias("of"), "component_id", "root"), "classes")
+    return prints.join(classes, F.col("fp") == F.col("of")).select("doc_id", "tie", "fp", "component_id", "root")
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -91,11 +93,12 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The columns of ``docs``, one document of each component: the smallest id, of repeated ids any one row.
+    """The columns of ``docs``, one document of each component: the smallest id (null last), then the smallest text hash.
 
-    A component without any id keeps one row.
+    Of rows that repeat id and text any one stays.
     """
-    kept = "__kept_id"
-    chosen = components(docs, words, radius).groupBy("component_id").agg(F.min("doc_id").alias(kept)).select(kept)
-    rows = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(F.col(kept))).drop(kept)
-    return rows.dropDuplicates(["doc_id"])
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie")
+    chosen = components(docs, words, radius).groupBy("root").agg(F.min(order).alias("best"))
+    chosen = chosen.select(F.col("best.doc_id").alias("__kept_id"), F.col("best.tie").alias("__kept_tie"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__kept_id")) & (F.xxhash64(common.whole_text()) == F.col("__kept_tie"))
+    return docs.join(chosen, same).dropDuplicates(["__kept_id", "__kept_tie"]).drop("__kept_id", "__kept_tie")
