@@ -18,7 +18,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache, reduce
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -82,8 +82,15 @@ class ChunkEncoder:
         self.ends = ends
         self.known: dict[bytes, bytes] = {}
 
+    def _words(self, chunk: str) -> list[str]:
+        if chunk.isalpha():
+            return [chunk.lower()]
+        if chunk[:-1].isalpha() and not chunk[-1].isnumeric():  # a word and one mark
+            return [chunk[:-1].lower(), chunk[-1]]
+        return self.WORDS.findall(chunk.lower())
+
     def _plain(self, chunks: list[str]) -> list[bytes]:
-        parts = [self.WORDS.findall(chunk.lower()) for chunk in chunks]
+        parts = [self._words(chunk) for chunk in chunks]
         lines = [" ".join(word for part in parts[i : i + 256] for word in part) for i in range(0, len(parts), 256)]
         ids = [np.array(line.ids, self.type) for line in self.words.encode_batch_fast(lines, add_special_tokens=False)]
         ids = np.concatenate(ids) if ids else np.empty(0, self.type)
@@ -94,28 +101,34 @@ class ChunkEncoder:
         places, raw = (word_ends[counts] * self.type.itemsize).tolist(), ids.tobytes()
         return [raw[places[i] : places[i + 1]] for i in range(len(chunks))]
 
-    def learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
-        """Ids of all chunks that are not remembered; remembers while there is room."""
-        known = self.known
-        new = list({chunk for text in texts for chunk in text if chunk not in known})
-        words = [chunk.decode() for chunk in new]
+    def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of different chunks; remembers them while there is room."""
+        words = [chunk.decode() for chunk in chunks]
         easy = [i for i, word in enumerate(words) if "<|" not in word and self.PLAIN.fullmatch(word)]
-        hard = sorted(set(range(len(new))) - set(easy))
-        found = dict(zip((new[i] for i in easy), self._plain([words[i] for i in easy]), strict=True))
+        hard = sorted(set(range(len(words))) - set(easy))
+        found = dict(zip((chunks[i] for i in easy), self._plain([words[i] for i in easy]), strict=True))
         for i, ids in zip(hard, self.full.encode_batch([words[i] for i in hard], add_special_tokens=False), strict=True):
-            found[new[i]] = np.array(ids.ids, self.type).tobytes()
-        for chunk, ids in found.items():
-            if len(known) >= KNOWN_CHUNKS:
-                break
-            if len(chunk) <= KNOWN_LENGTH:
-                known[chunk] = ids
+            found[chunks[i]] = np.array(ids.ids, self.type).tobytes()
+        room = KNOWN_CHUNKS - len(self.known)
+        if room > 0:
+            short = (item for item in found.items() if len(item[0]) <= KNOWN_LENGTH)
+            self.known.update(islice(short, room))
         return found
 
     def encode(self, raws: list[bytes]) -> list[bytes]:
-        texts = [raw.split() for raw in raws]
-        found, known = self.learn(texts), self.known
-        get = known.get
-        return [b"".join([get(chunk) or found.get(chunk, b"") for chunk in text]) for text in texts]
+        get, texts, missing = self.known.get, [], []
+        for raw in raws:
+            chunks = raw.split()
+            ids = list(map(get, chunks))
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                missing.append((ids, at, chunks[at]))
+            texts.append(ids)
+        found = self.learn(list({chunk for _, _, chunk in missing}))
+        for ids, at, chunk in missing:
+            ids[at] = found[chunk]
+        return [b"".join(ids) for ids in texts]
 
 
 @cache
