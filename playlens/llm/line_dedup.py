@@ -50,7 +50,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     long_enough = F.char_length("key") >= min_chars
     held = rows.select("doc", F.explode(F.array_distinct(F.transform(lines, line_key))).alias("key")).filter(long_enough)
     counts = held.select("doc", *_hashes()).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("last"))
-    shared = counts.filter(F.col("docs") >= min_docs)
+    # Written, so that both sides of the join are plain shuffles and AQE can split the commonest line's places.
+    shared = common.store(counts.filter(F.col("docs") >= min_docs), "shared_lines")
     places = rows.select("doc", "tie", F.posexplode(lines).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
     places = places.filter(long_enough).select("doc", "tie", "pos", *_hashes()).join(shared, ["h1", "h2"])
     split = F.col("docs") > hot
