@@ -74,8 +74,9 @@ def window_texts(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     weighed = met.select("doc", "tie", "size", "weight", F.explode(starts).alias("start")).groupBy("doc", "tie", "size", "start")
     places = weighed.agg(F.sum("weight").alias("hits")).groupBy(F.col("doc").alias("in_doc"), F.col("tie").alias("in_tie"))
     places = places.agg(F.collect_list(F.struct("size", "start", "hits")).alias("places"))
-    whole = _documents(docs)
-    joined = whole.join(places, _same_document(whole, "in_doc", "in_tie"))
+    text = common.whole_text()
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("tie"), text.alias("whole"))
+    joined = whole.join(places, _same_document(whole, "in_doc", "in_tie")).withColumn("words", words_of(F.col("whole")))
     # The weight of all shingles of a window: words count once for each shingle they are in, and each has its spaces.
     lengths = joined.withColumn("lengths", F.transform("words", F.char_length))
 
@@ -136,18 +137,22 @@ def candidates(windows: DataFrame, items: DataFrame, radius: int = RADIUS, block
 
 def similarities(pairs: DataFrame) -> DataFrame:
     """(text, item_text, common, total): the weight of the common part and of the union of two bags of shingles."""
+    ids = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("text"), "text").alias("t2")]
+    items = [F.xxhash64("item_text").alias("i1"), F.xxhash64(F.lit("text"), "item_text").alias("i2")]
+    pairs = pairs.select("text", "item_text", *ids, *items)
 
-    def bag(texts: DataFrame, name: str, count: str) -> DataFrame:
-        each = texts.select(name).distinct().withColumn("words", F.split(name, " "))
-        return each.select(name, F.explode(shingles("words")).alias("shingle")).groupBy(name, "shingle").agg(F.count(F.lit(1)).alias(count))
+    def bag(name: str, one: str, two: str, count: str) -> DataFrame:
+        each = pairs.select(name, one, two).distinct().withColumn("words", F.split(name, " "))
+        return each.select(one, two, F.explode(shingles("words")).alias("shingle")).groupBy(one, two, "shingle").agg(F.count(F.lit(1)).alias(count))
 
-    mine, theirs = bag(pairs, "text", "n"), bag(pairs, "item_text", "m")
+    mine, theirs = bag("text", "t1", "t2", "n"), bag("item_text", "i1", "i2", "m")
     weight = F.char_length("shingle")
-    shared = pairs.join(mine, "text").join(theirs, ["item_text", "shingle"])
-    shared = shared.groupBy("text", "item_text").agg(F.sum(F.least("n", "m") * weight).alias("common"))
-    all_mine = mine.groupBy("text").agg(F.sum(F.col("n") * weight).alias("weight"))
-    all_theirs = theirs.groupBy("item_text").agg(F.sum(F.col("m") * weight).alias("item_weight"))
-    joined = shared.join(all_mine, "text").join(all_theirs, "item_text")
+    linked = pairs.select("t1", "t2", "i1", "i2")
+    shared = linked.join(mine, ["t1", "t2"]).join(theirs, ["i1", "i2", "shingle"])
+    shared = shared.groupBy("t1", "t2", "i1", "i2").agg(F.sum(F.least("n", "m") * weight).alias("common"))
+    all_mine = mine.groupBy("t1", "t2").agg(F.sum(F.col("n") * weight).alias("weight"))
+    all_theirs = theirs.groupBy("i1", "i2").agg(F.sum(F.col("m") * weight).alias("item_weight"))
+    joined = pairs.join(shared, ["t1", "t2", "i1", "i2"]).join(all_mine, ["t1", "t2"]).join(all_theirs, ["i1", "i2"])
     return joined.select("text", "item_text", "common", (F.col("weight") + F.col("item_weight") - F.col("common")).alias("total"))
 
 
