@@ -30,7 +30,7 @@ from playlens.llm import common
 WEIGHTS, MOST_PASSES, BLOCK_WORDS, SEED = (5, 2, 1), 3, 32, 20240229
 SHARD_SLOTS, GROUP_SHARDS = 1024, 32
 #: Documents that are packed one after the other into one stream of blocks.
-STREAM_DOCS = 20_000
+STREAM_DOCS = 2_000
 #: Sources are listed on the driver; more than this many are refused.
 MOST_SOURCES = 100_000
 NO_ID = -(1 << 63)
@@ -90,7 +90,7 @@ class Plan:
         self.targets = targets(self.words, weights, most)
         self.sources = self.spark.createDataFrame(
             [
-                (row.source, number, row.words, target, -(-row.docs // STREAM_DOCS))
+                (row.source, number, row.words, float(target), -(-row.docs // STREAM_DOCS))
                 for number, (row, target) in enumerate(zip(rows, self.targets, strict=True))
             ],
             "source string, number int, source_size bigint, target double, streams bigint",
@@ -161,12 +161,13 @@ class Plan:
     def mixed_pieces(self) -> DataFrame:
         """(shard, slot, number, doc, tie, begin, words): the contents of every slot."""
         slots = self.slot_table()
-        return slots.join(self.pieces, ["number", "block"]).select("shard", "slot", "number", "doc", "tie", "begin", "words")
+        return slots.hint("merge").join(self.pieces, ["number", "block"]).select("shard", "slot", "number", "doc", "tie", "begin", "words")
 
     def uses(self) -> DataFrame:
         """(doc, tie, number, begin, words, uses): how often the mix takes each piece of a document."""
         used = self.slot_table().groupBy("number", "block").agg(F.count(F.lit(1)).alias("uses"))
-        return self.pieces.join(used, ["number", "block"]).select("doc", "tie", "number", "begin", "words", "uses")
+        # Spark takes what comes from a short range for small; it grows with the input and must not be broadcast.
+        return self.pieces.join(used.hint("merge"), ["number", "block"]).select("doc", "tie", "number", "begin", "words", "uses")
 
 
 def permuted(slots: np.ndarray, blocks: int, seed: int, number: int) -> np.ndarray:
@@ -205,7 +206,7 @@ def _even(total: Column, copies: Column, copy: Column) -> Column:
 def taken(mix: Plan) -> DataFrame:
     """(doc_id, size, source_size, target, taken), one row per document."""
     used = mix.uses().groupBy("doc", "tie").agg(F.sum(F.col("words") * F.col("uses")).alias("taken_words"))
-    sizes = mix.sizes.join(F.broadcast(mix.sources), mix.sizes.source.eqNullSafe(mix.sources.source)).join(used, ["doc", "tie"], "left")
+    sizes = mix.sizes.join(F.broadcast(mix.sources), mix.sizes.source.eqNullSafe(mix.sources.source)).join(used.hint("merge"), ["doc", "tie"], "left")
     rows = sizes.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     total = F.coalesce("taken_words", F.lit(0))
     return rows.select(
@@ -244,7 +245,7 @@ def mixed_documents(docs: DataFrame, mix: Plan) -> DataFrame:
     used = used.withColumnsRenamed({"doc": "__mix_doc", "tie": "__mix_tie"})
     met = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == used["__mix_doc"]) & (F.xxhash64(raw) == used["__mix_tie"])
     text = {"text": mixed(raw, F.col("__mix_pieces"))}
-    rows = docs.join(used, met).dropDuplicates(["__mix_doc", "__mix_tie"]).withColumns(text)
+    rows = docs.join(used.hint("merge"), met).dropDuplicates(["__mix_doc", "__mix_tie"]).withColumns(text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*[F.col(f"`{name}`") for name in docs.columns])
