@@ -194,10 +194,17 @@ def sample_runs(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, runs: int = SAM
     """(lang, words) of runs from a bounded sample of labelled documents outside the held-out fold."""
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("lang").cast("string").alias("lang"), common.whole_text().alias("text"))
     labelled = labelled.filter(F.col("doc").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc")))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc"), "doc"))
-    chosen = labelled.select("lang", "doc").withColumn("place", place).filter(F.col("place") <= sample_docs).select("doc").distinct()
-    if labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+    counts = labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not counts:
+        return []
+    # Hashes leave about four times the sample of each language, whatever its share, before rows are ranked.
+    shares = docs.sparkSession.createDataFrame([(row.lang, min(1.0, 4 * sample_docs / row["count"])) for row in counts], "lang string, share double")
+    near = labelled.select("lang", "doc").join(F.broadcast(shares), "lang")
+    near = near.filter(F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) <= F.col("share") * 1_000_000)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc"), "doc"))
+    chosen = near.withColumn("place", place).filter(F.col("place") <= sample_docs).select("doc").distinct()
     schema = pa.schema([("lang", pa.string()), ("run", pa.string())])
 
     def make(batch: pa.RecordBatch) -> dict:
