@@ -83,11 +83,12 @@ class ChunkEncoder:
         self.known: dict[bytes, bytes] = {}
 
     def _words(self, chunk: str) -> list[str]:
-        if chunk.isalpha():
-            return [chunk.lower()]
-        if chunk[:-1].isalpha() and not chunk[-1].isnumeric():  # a word and one mark
-            return [chunk[:-1].lower(), chunk[-1]]
-        return self.WORDS.findall(chunk.lower())
+        low = chunk.lower()  # may add marks
+        if low.isalpha():
+            return [low]
+        if low[:-1].isalpha() and not low[-1].isalnum():  # a word and one mark
+            return [low[:-1], low[-1]]
+        return self.WORDS.findall(low)
 
     def _plain(self, chunks: list[str]) -> list[bytes]:
         parts = [self._words(chunk) for chunk in chunks]
