@@ -31,19 +31,23 @@ def of_player(df: DataFrame, player: str | None) -> DataFrame:
     return df if player is None else df.where(F.col("player_name") == F.lit(player))
 
 
-def last(df: DataFrame, *, hours: int = 0, minutes: int = 0, as_of=None, strict: bool = False) -> DataFrame:
-    """Rows of the last ``hours`` and ``minutes`` before ``as_of``."""
+def last(df: DataFrame, *, hours: int | None = 0, minutes: int = 0, as_of=None, strict: bool = False) -> DataFrame:
+    """Rows of the last ``hours`` and ``minutes`` before ``as_of``; of all time if ``hours`` is None."""
+    if hours is None:
+        return df
     bound = ago(now_of(df, as_of), hours=hours, minutes=minutes)
     return df.where(F.col("timestamp") > bound if strict else F.col("timestamp") >= bound)
 
 
-def in_range(df: DataFrame, *, as_of=None, minutes: int | None = None, start=None, end=None) -> DataFrame:
-    """Rows between ``start`` and ``end`` (both included), and of the last ``minutes``."""
+def in_range(
+    df: DataFrame, *, as_of=None, minutes: int | None = None, start=None, end=None, strict: bool = False
+) -> DataFrame:
+    """Rows between ``start`` and ``end`` (both included), and of the last ``minutes`` (without their start if ``strict``)."""
     if start is not None:
         df = df.where(F.col("timestamp") >= moment(df, start))
     if end is not None:
         df = df.where(F.col("timestamp") <= moment(df, end))
-    return df if minutes is None else last(df, minutes=minutes, as_of=as_of)
+    return df if minutes is None else last(df, minutes=minutes, as_of=as_of, strict=strict)
 
 
 def contains_text(column: str, needle: str) -> Column:

@@ -113,7 +113,8 @@ def event_distribution(spans: DataFrame, *, as_of=None, hours: int = 1) -> DataF
     )
 
 
-def unique_players(spans: DataFrame, *, as_of=None, hours: int = 1) -> DataFrame:
+def unique_players(spans: DataFrame, *, as_of=None, hours: int | None = 1) -> DataFrame:
+    """Known players of the last ``hours``, or of all time."""
     return last(spans, hours=hours, as_of=as_of, strict=True).where(known_player()).select("player_name").distinct()
 
 

@@ -16,8 +16,8 @@ def best_first(coins: Column, duration: Column) -> list[Column]:
     return [coins.desc_nulls_last(), duration.asc_nulls_last(), F.col("event_id").asc()]
 
 
-def top_scores(spans: DataFrame, *, as_of=None, hours: int = 24) -> DataFrame:
-    """All games that ended in the last ``hours``, ranked."""
+def top_scores(spans: DataFrame, *, as_of=None, hours: int | None = 24) -> DataFrame:
+    """All games that ended in the last ``hours`` (or ever), ranked."""
     games = last(spans, hours=hours, as_of=as_of).where(is_event("game_over"))
     games = games.select("event_id", "timestamp", "player_name", "level", "coins", "session_duration")
     ranked = global_rank(games, best_first(F.col("coins"), F.col("session_duration")))

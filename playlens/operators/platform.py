@@ -23,13 +23,14 @@ def _bucketed(
     minutes: int | None = None,
     start=None,
     end=None,
+    strict: bool = False,
 ) -> DataFrame:
     """Aggregate rows of a time range per bucket.
 
     With ``zone`` the bucket is shown as local text. Grouping stays on the UTC bucket, so the two
     passes of the repeated hour in autumn remain apart; ``local_group`` merges them instead.
     """
-    rows = in_range(rows, as_of=as_of, minutes=minutes, start=start, end=end)
+    rows = in_range(rows, as_of=as_of, minutes=minutes, start=start, end=end, strict=strict)
     if metrics:
         rows = rows.where(F.col("metric_name").isin(*metrics))
     rows = rows.withColumn(name, slice_minutes("timestamp", bucket))

@@ -237,10 +237,10 @@ add(
     .where(F.col("session_end").isNotNull())
     .select("session_id", "session_end", "final_level", "final_coins"),
     top_scores=lambda t: leaderboard.top_scores(t.spans),
-    top_scores_all=lambda t: leaderboard.top_scores(t.spans, hours=24 * 365),
+    top_scores_all=lambda t: leaderboard.top_scores(t.spans, hours=None),
     top_scores_20=lambda t: leaderboard.top_scores(t.spans).orderBy("rank").limit(20),
     leaderboard=lambda t: leaderboard.leaderboard(t.game_events),
-    leaderboard_text=lambda t: leaderboard.leaderboard(t.game_events, hours=24 * 30)
+    leaderboard_text=lambda t: leaderboard.leaderboard(t.game_events)
     .withColumn("game_time", F.date_format("game_time", "yyyy-MM-dd'T'HH:mm:ss")),
     rel_events_keys=lambda t: relationships.join_relationship(
         t.game_events.select("event_id", "event_type", "player_name", "key_name"),
@@ -303,23 +303,24 @@ add(
     cpu_usage=lambda t: platform.cpu_usage(t.metrics, minutes=360),
     cpu_usage_all=lambda t: platform.cpu_usage(t.metrics, zone=v.DEFAULT_ZONE),
     cpu_usage_local_group=lambda t: platform.cpu_usage(t.metrics, zone=v.DEFAULT_ZONE, local_group=True),
-    cpu_usage_30m=lambda t: platform.cpu_usage(t.metrics, minutes=30),
+    cpu_usage_30m=lambda t: platform.cpu_usage(t.all_metrics, minutes=30, strict=True),
     cpu_usage_between=lambda t: platform.cpu_usage(t.metrics, start="2024-01-05 00:00:00", end="2024-01-20 12:00:00"),
     memory_usage=lambda t: platform.memory_usage(t.metrics, minutes=360),
+    memory_usage_30m=lambda t: platform.memory_usage(t.all_metrics, minutes=30, strict=True),
     memory_usage_all=lambda t: platform.memory_usage(t.metrics, zone=v.DEFAULT_ZONE),
     network_ingress=lambda t: platform.network_ingress(t.metrics, minutes=360),
     network_ingress_all=lambda t: platform.network_ingress(t.metrics, zone=v.DEFAULT_ZONE),
-    network_connections=lambda t: platform.network_connections(t.metrics, minutes=360),
+    network_connections=lambda t: platform.network_connections(t.all_metrics, minutes=30, strict=True),
     network_connections_all=lambda t: platform.network_connections(t.metrics),
     collector_throughput=lambda t: platform.collector_throughput(t.metrics, minutes=360),
     collector_throughput_all=lambda t: platform.collector_throughput(t.metrics, zone=v.DEFAULT_ZONE),
     log_health=lambda t: platform.log_health(t.logs, minutes=360),
     log_health_all=lambda t: platform.log_health(t.logs),
     log_health_minute=lambda t: platform.log_health(t.logs, bucket=1, name="minute", zone=v.DEFAULT_ZONE),
-    event_distribution_1h=lambda t: aggregates.event_distribution(t.spans),
-    event_distribution_24h=lambda t: aggregates.event_distribution(t.spans, hours=24),
-    unique_players_1h=lambda t: aggregates.unique_players(t.spans),
-    distinct_players=lambda t: aggregates.unique_players(t.spans, hours=24 * 365),
+    event_distribution_1h=lambda t: aggregates.event_distribution(t.all_spans),
+    event_distribution_24h=lambda t: aggregates.event_distribution(t.all_spans, hours=24),
+    unique_players_1h=lambda t: aggregates.unique_players(t.all_spans),
+    distinct_players=lambda t: aggregates.unique_players(t.all_spans, hours=None),
     players_list=lambda t: aggregates.players_list(t.game_events),
     kpi_totals=lambda t: rollups.kpi_totals(t.game_events, live(t, "powerups")),
     kpi_totals_player=lambda t: rollups.kpi_totals(t.game_events, live(t, "powerups"), player=PLAYER),
@@ -516,7 +517,7 @@ def stream_ingest(t: Telemetry) -> DataFrame:
 
 
 add(
-    freshness=lambda t: rollups.freshness(t.game_events),
+    freshness=lambda t: rollups.freshness(t.game_events, as_of=predicates.now_of(t.event_table)),
     key_throttle=lambda t: key_throttle(t.spans),
     key_throttle_6h=lambda t: key_throttle(t.spans, gap_ms=6 * 3_600_000, slice_ms=24 * 3_600_000),
 )

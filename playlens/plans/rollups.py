@@ -110,7 +110,7 @@ def health_check(records: DataFrame, live: dict[str, DataFrame], *, as_of=None)
 
 
 def freshness(game_events: DataFrame, *, as_of=None) -> DataFrame:
-    """Newest live event and its age in minutes."""
+    """Newest live event and its age in minutes, at ``as_of`` (such as the newest raw record)."""
     return game_events.agg(F.max("timestamp").alias("latest_event")).withColumn(
         "minutes_since_last_event", boundary_diff("MINUTE", "latest_event", now_of(game_events, as_of))
     )

@@ -46,6 +46,16 @@ SELECT event_id, ts AS timestamp,
 FROM {events}
 """
 
+#: Metrics of another service: larger, and reported later than anything else.
+OTHER_METRICS = """
+SELECT event_id, ts + INTERVAL '20' MINUTE AS timestamp,
+ CASE event_id % 6 WHEN 0 THEN 'container.cpu.usage' WHEN 1 THEN 'container.memory.usage'
+  WHEN 2 THEN 'network.ingress.connections.active' WHEN 3 THEN 'network.ingress.cps'
+  WHEN 4 THEN 'otel.sdk.span.started' ELSE 'otel.sdk.span.live' END AS metric_name,
+ CASE event_id % 6 WHEN 0 THEN value / 200 WHEN 1 THEN value * 3145728 ELSE value * 3 END AS metric_value
+FROM {events} WHERE event_id % 7 = 0
+"""
+
 LOGS = """
 SELECT event_id, ts AS timestamp, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'WARN' ELSE 'INFO' END AS severity,
  concat(CASE event_type WHEN 'error' THEN 'Error' WHEN 'view' THEN 'warning' ELSE 'info' END,
@@ -116,7 +126,7 @@ class Telemetry:
 
     @cached_property
     def event_table(self) -> DataFrame:
-        """Spans, metrics and logs of one service, and some spans of another, as stored records."""
+        """Spans, metrics and logs of one service, and some spans and metrics of another, as stored records."""
         spans = self.bound(SPANS)
         other = spans.where(F.col("event_id") % 7 == 0)
         return (
@@ -124,12 +134,22 @@ class Telemetry:
             .unionByName(metric_records(self.bound(METRICS), DEFAULT_SERVICE))
             .unionByName(log_records(self.bound(LOGS), DEFAULT_SERVICE))
             .unionByName(span_records(span_attributes(other), OTHER_SERVICE))
+            .unionByName(metric_records(self.bound(OTHER_METRICS), OTHER_SERVICE))
         )
 
     @cached_property
     def spans(self) -> DataFrame:
         return projections.spans(self.event_table)
 
+    @cached_property
+    def all_spans(self) -> DataFrame:
+        """Game spans of every service."""
+        return projections.spans(self.event_table, service=None)
+
+    @cached_property
+    def all_metrics(self) -> DataFrame:
+        return projections.game_metrics(self.event_table, service=None)
+
     @cached_property
     def game_events(self) -> DataFrame:
         return projections.game_events(self.event_table)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+import oracles
 from parity import compare, database
+from playlens.plans import registry
 
-QUERIES = entry.queries()
-STATEMENTS = entry.oracle_sql()
+QUERIES = registry.queries()
+STATEMENTS = oracles.ORACLES
 
 
 @pytest.fixture(scope="session")
