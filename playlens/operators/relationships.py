@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot if it holds more than this share of the left rows, so there are at most
-# 1 / HOT_SHARE hot keys.
-HOT_SHARE = 0.001
+# Each left key is spread over so many tasks; the right side, one row per key, is repeated as often.
+SALTS = 8
 
 
 def _complete(df: DataFrame, on: list[str]) -> DataFrame:
@@ -53,18 +52,17 @@ def check_cardinality(left: DataFrame, right: DataFrame, on: list[str]) -> DataF
 
 
 def join_relationship(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join of a many-to-one relationship; refused if ``right`` repeats a key.
+    """Inner join of a many-to-one relationship; the run fails if ``right`` repeats a key.
 
-    Left rows of hot keys meet their right row by broadcast and are not shuffled. There are at
-    most 1 / HOT_SHARE hot keys and one right row for each, so that is all that is sent. All other
-    keys are joined as usual, and none of them holds more than HOT_SHARE of the rows.
+    Each side is read once and nothing runs before the result is asked for. A key that holds much of the left rows is
+    dealt over ``SALTS`` tasks.
     """
     left, right = _complete(left, on), _complete(right, on)
-    if not right.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > 1).isEmpty():
-        raise ValueError(f"not a many-to-one relationship: the right side repeats values of {on}")
-    counts = left.groupBy(*on).agg(F.count("*").alias("n"))
-    hot = counts.where(F.col("n") > counts.agg(F.sum("n") * F.lit(HOT_SHARE)).scalar()).select(*on)
-    hot_right = right.join(F.broadcast(hot), on, "left_semi")
-    warm = left.join(F.broadcast(hot_right), on)
-    cold = left.join(F.broadcast(hot), on, "left_anti").join(right, on)
-    return warm.unionByName(cold)
+    others = [name for name in right.columns if name not in on]
+    kept = [F.col(f"__row.{name}").alias(name) for name in others]
+    rows = right.groupBy(*on).agg(F.count("*").alias("__n"), F.any_value(F.struct(*others)).alias("__row"))
+    fault = f"not a many-to-one relationship: the right side repeats values of {on}"
+    single = rows.where(F.assert_true(F.col("__n") == 1, F.lit(fault)).isNull()).select(*on, *kept)
+    salted = single.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)))
+    return dealt.join(salted, [*on, "__salt"]).drop("__salt")
