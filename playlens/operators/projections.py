@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from playlens.functions.attributes import double, integer, text
 from playlens.functions.predicates import has_prefix
@@ -10,11 +11,19 @@ from playlens.sources.event_table import scan_service_records
 from playlens.vocabulary import DEFAULT_PREFIX, DEFAULT_SERVICE
 
 
+def _named(df: DataFrame, prefix: str) -> DataFrame:
+    """The events that start with ``prefix``, named as all operators know them: with the default prefix in its place."""
+    chosen = df.where(has_prefix(prefix))
+    if prefix == DEFAULT_PREFIX:
+        return chosen  # names stay as stored, so filters on them reach the scan
+    bare = F.substring("event_type", F.lit(len(prefix) + 1), F.char_length("event_type"))
+    return chosen.withColumn("event_type", F.concat(F.lit(DEFAULT_PREFIX), bare))
+
+
 def game_events(event_table: DataFrame, *, service: str | None = DEFAULT_SERVICE, prefix: str = DEFAULT_PREFIX):
     """Game spans as text columns; the source of every live table."""
-    return (
-        scan_service_records(event_table, service, "SPAN")
-        .select(
+    return _named(
+        scan_service_records(event_table, service, "SPAN").select(
             "event_id",
             "timestamp",
             text("record", "name").alias("event_type"),
@@ -26,16 +35,15 @@ def game_events(event_table: DataFrame, *, service: str | None = DEFAULT_SERVICE
             text("record_attributes", "type").alias("powerup_type"),
             text("record_attributes", "session_duration").alias("duration"),
             text("record_attributes", "session_id").alias("session_id"),
-        )
-        .where(has_prefix(prefix))
+        ),
+        prefix,
     )
 
 
 def spans(event_table: DataFrame, *, service: str | None = DEFAULT_SERVICE, prefix: str = DEFAULT_PREFIX) -> DataFrame:
     """Game spans with typed numbers; text that is not a number becomes NULL."""
-    return (
-        scan_service_records(event_table, service, "SPAN")
-        .select(
+    return _named(
+        scan_service_records(event_table, service, "SPAN").select(
             "event_id",
             "timestamp",
             text("record", "name").alias("event_type"),
@@ -47,8 +55,8 @@ def spans(event_table: DataFrame, *, service: str | None = DEFAULT_SERVICE, pref
             text("record_attributes", "type").alias("powerup_type"),
             double("record_attributes", "session_duration").alias("session_duration"),
             text("record_attributes", "session_id").alias("session_id"),
-        )
-        .where(has_prefix(prefix))
+        ),
+        prefix,
     )
 
 
@@ -85,9 +93,11 @@ def game_traces(event_table: DataFrame, *, service: str | None = DEFAULT_SERVICE
     )
 
 
-def attribute_frame(event_table: DataFrame, *, service: str | None = DEFAULT_SERVICE) -> DataFrame:
-    """Span name and the attributes the instruments are labelled with."""
-    return scan_service_records(event_table, service, "SPAN").select(
+def attribute_frame(
+    event_table: DataFrame, *, service: str | None = DEFAULT_SERVICE, prefix: str = DEFAULT_PREFIX
+) -> DataFrame:
+    """Event name and the attributes the instruments are labelled with."""
+    rows = scan_service_records(event_table, service, "SPAN").select(
         "event_id",
         "timestamp",
         text("record", "name").alias("event_type"),
@@ -98,4 +108,5 @@ def attribute_frame(event_table: DataFrame, *, service: str | None = DEFAULT_SER
         double("record_attributes", "duration").alias("duration"),
         double("record_attributes", "session_duration").alias("session_duration"),
     )
+    return rows if prefix == DEFAULT_PREFIX else _named(rows, prefix)
 
