@@ -24,6 +24,7 @@ from playlens.sources import bindings, event_table, ingest, live_store
 from playlens.sources.bindings import Telemetry, bind
 from playlens.streaming import live_tables
 from playlens.streaming.ingest import stream_ingest as stream_requests
+from playlens.streaming.ingest import stream_quarantine as stream_rejected
 from playlens.streaming.throttle import throttled_keys
 
 Query = Callable[[Telemetry], DataFrame]
@@ -516,6 +517,14 @@ def stream_ingest(t: Telemetry) -> DataFrame:
     )
 
 
+@query
+def stream_quarantine(t: Telemetry) -> DataFrame:
+    path = new_path(t.spark, "quarantine")
+    requests = bind(bindings.REQUESTS, t.events_stream())
+    stream_rejected(requests, path=path, checkpoint=new_path(t.spark, "checkpoint"), trigger=ONCE).awaitTermination()
+    return t.spark.read.parquet(path).select("event_id", "request_uri", "payload")
+
+
 add(
     freshness=lambda t: rollups.freshness(t.game_events, as_of=predicates.now_of(t.event_table)),
     key_throttle=lambda t: key_throttle(t.spans),

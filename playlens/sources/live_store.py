@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from playlens.operators import aggregates
 
+VERSIONS = "written bigint, version string"
+
 
 @dataclass(frozen=True)
 class LiveTable:
@@ -34,11 +39,20 @@ def cluster_layout(table: DataFrame, cluster_by: tuple[str, ...]) -> DataFrame:
 
 
 def write_live_table(table: DataFrame, path: str, cluster_by: tuple[str, ...]) -> None:
-    cluster_layout(table, cluster_by).write.mode("overwrite").parquet(path)
+    """Write a new version beside the old ones, then name it in the list of versions.
+
+    Readers see the version that was newest when they opened the table, whole, however long they read. Old versions
+    may be removed once nobody reads them.
+    """
+    spark, version = table.sparkSession, uuid.uuid4().hex
+    cluster_layout(table, cluster_by).write.parquet(f"{path}/version={version}")
+    spark.createDataFrame([(time.time_ns(), version)], VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/versions")
 
 
 def scan_live_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}")
+    versions = spark.read.schema(VERSIONS).parquet(f"{folder}/{name}/versions")
+    newest = versions.orderBy(F.desc("written")).first()
+    return spark.read.parquet(f"{folder}/{name}/version={newest.version}")
 
 
 def refresh_live_tables(game_events: DataFrame, folder: str, names=tuple(LIVE_TABLES)) -> dict[str, DataFrame]:

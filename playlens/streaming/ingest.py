@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from playlens.sources.ingest import build_spans
+from playlens.sources.ingest import build_spans, ingest_requests
 from playlens.vocabulary import DEFAULT_PREFIX, DEFAULT_SERVICE
 
 EVERY_5_SECONDS = {"processingTime": "5 seconds"}
@@ -36,3 +36,20 @@ def stream_ingest(
         .trigger(**(trigger or EVERY_5_SECONDS))
         .start()
     )
+
+
+def stream_quarantine(
+    requests: DataFrame, *, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Append the requests whose payload cannot be parsed to ``path``, by day. The counterpart of ``stream_ingest``."""
+    _, quarantine = ingest_requests(requests)
+    return (
+        quarantine.withColumn("event_date", F.to_date("ts"))
+        .writeStream.format("parquet")
+        .outputMode("append")
+        .partitionBy("event_date")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or EVERY_5_SECONDS))
+        .start()
+    )
