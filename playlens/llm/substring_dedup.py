@@ -124,11 +124,12 @@ def _with_spaces(raw: bytes) -> bytes:
     return b" ".join(raw.split())
 
 
-def _minimisers(texts: DataFrame, window: int, core: int) -> DataFrame:
-    """(doc, mini) of every super-k-mer."""
+def _minimisers(texts: DataFrame, window: int, core: int, once: bool) -> DataFrame:
+    """(doc, mini) of every super-k-mer; of each different minimiser of a text if ``once``."""
 
     def make(batch: pa.RecordBatch) -> dict:
         found = [super_kmers(_with_spaces(raw.as_py()), window, core)[2] for raw in batch.column(1)]
+        found = [np.unique(values) for values in found] if once else found
         return {"doc": np.repeat(batch.column(0).to_numpy(), [len(values) for values in found]), "mini": np.concatenate(found)}
 
     schema = pa.schema([("doc", pa.int64()), ("mini", pa.int64())])
@@ -194,9 +195,8 @@ def _strings(window: int):
 def repeated_windows(texts: DataFrame, window: int = WINDOW, core: int = CORE, hot: int = HOT) -> DataFrame:
     """(doc, spans): per document the windows that start earlier elsewhere, as (tie, start, mask of offsets)."""
     new = texts.filter("first")
-    minis = _minimisers(new, window, core)
-    often = minis.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mini", (F.col("n") > hot).alias("hot"))
-    wanted = minis.join(often, "mini").groupBy(F.col("doc").alias("in_doc"))
+    often = _minimisers(new, window, core, once=False).groupBy("mini").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mini", (F.col("n") > hot).alias("hot"))
+    wanted = _minimisers(new, window, core, once=True).join(often, "mini").groupBy(F.col("doc").alias("in_doc"))
     wanted = wanted.agg(F.collect_set("mini").alias("minis"), F.collect_set(F.when(F.col("hot"), F.col("mini"))).alias("crowded"))
     places = new.join(wanted, new.doc == wanted.in_doc).select("doc", "raw", "tie", "minis", "crowded")
     places = places.mapInArrow(_places(window, core), "bucket bigint, pack bigint, doc bigint, tie bigint, start int, size int")
