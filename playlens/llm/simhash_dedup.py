@@ -22,6 +22,7 @@ from playlens.llm import common
 from playlens.llm.components import connected_components
 
 WORDS, RADIUS, SEED = 3, 2, 42
+NO_ID = -(1 << 63)
 SHINGLES_AT_ONCE = 1 << 16
 
 
@@ -99,6 +100,9 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADI
     """
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie")
     chosen = components(docs, words, radius).groupBy("root").agg(F.min(order).alias("best"))
-    chosen = chosen.select(F.col("best.doc_id").alias("__kept_id"), F.col("best.tie").alias("__kept_tie"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__kept_id")) & (F.xxhash64(common.whole_text()) == F.col("__kept_tie"))
-    return docs.join(chosen, same).dropDuplicates(["__kept_id", "__kept_tie"]).drop("__kept_id", "__kept_tie")
+    # Plain equality on keys without nulls: the join's partitioning then serves the removal of repeated rows as well.
+    key = F.coalesce(F.col("best.doc_id"), F.lit(NO_ID)).alias("__kept_id")
+    chosen = chosen.select(key, F.col("best.tie").alias("__kept_tie")).hint("merge")
+    own_id, own_tie = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.xxhash64(common.whole_text())
+    rows = docs.join(chosen, (own_id == F.col("__kept_id")) & (own_tie == F.col("__kept_tie")))
+    return rows.dropDuplicates(["__kept_id", "__kept_tie"]).drop("__kept_id", "__kept_tie")
