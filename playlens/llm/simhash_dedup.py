@@ -93,16 +93,21 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The columns of ``docs``, one document of each component: the smallest id (null last), then the smallest text hash.
+def keep_first(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The columns of ``docs``, one document of each root of ``rooted`` (doc_id, tie, root): the smallest id (null last), then the smallest text hash.
 
     Of rows that repeat id and text any one stays.
     """
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie")
-    chosen = components(docs, words, radius).groupBy("root").agg(F.min(order).alias("best"))
+    chosen = rooted.groupBy("root").agg(F.min(order).alias("best"))
     # Plain equality on keys without nulls: the join's partitioning then serves the removal of repeated rows as well.
     key = F.coalesce(F.col("best.doc_id"), F.lit(NO_ID)).alias("__kept_id")
     chosen = chosen.select(key, F.col("best.tie").alias("__kept_tie")).hint("merge")
     own_id, own_tie = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.xxhash64(common.whole_text())
     rows = docs.join(chosen, (own_id == F.col("__kept_id")) & (own_tie == F.col("__kept_tie")))
     return rows.dropDuplicates(["__kept_id", "__kept_tie"]).drop("__kept_id", "__kept_tie")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """The columns of ``docs``, one document of each component as ``keep_first`` chooses it."""
+    return keep_first(docs, components(docs, words, radius))
