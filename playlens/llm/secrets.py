@@ -5,9 +5,12 @@ variable-order character models, one of random strings and one of ordinary ident
 log-likelihood ratio per character is over the threshold, the run is a span of kind ``model``.
 
 The models are trained from labelled samples of the documents themselves: values that the patterns found are random
-strings, other long runs are identifiers. The sample is bounded by ``SAMPLE_DOCS`` documents and ``SAMPLE_VALUES``
+strings, other long runs are identifiers unless they may be secrets without a pattern: a first model of ordinary
+strings knows only short words that stand in several texts, and ``REFITS`` times the runs that the last model finds nearer
+to random strings are left out before the next one is fitted. Random strings may use characters that no pattern value
+has: half of their chances are even. The sample is bounded by ``SAMPLE_DOCS`` documents and ``SAMPLE_VALUES``
 different values of a label. Half of the values fit the models, the other half sets the threshold, so that at most
-``FALSE_RATE`` of the identifiers lie above it. Scanning itself covers every whole text and needs no shuffle.
+``FALSE_RATE`` of the identifiers that are left lie above it. Scanning itself covers every whole text and needs no shuffle.
 
 Defined results: a null or empty text has no spans; without any labelled random string or identifier the models add
 nothing; repeated rows give repeated results; ids may be null or repeat; other columns of the input are not read.
@@ -27,6 +30,8 @@ from playlens.llm import common
 
 KINDS = ("assign", "access", "hex", "model")
 SAMPLE_DOCS, SAMPLE_VALUES, SAMPLE_LENGTH, FALSE_RATE = 20_000, 20_000, 256, 1e-4
+#: Rounds that clean the identifiers; the share of even chances among those of random strings.
+REFITS, EVEN = 2, 0.5
 
 #: The base patterns and their least lengths.
 ASSIGN = re.compile(
@@ -39,6 +44,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: Every access and hex match lies inside one of these.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 IDENTIFIER = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: Too short to be labelled or scored.
+WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,11}(?![A-Za-z0-9+/_=-])")
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 #: Class 0 stands before the first character and for characters outside the alphabet.
@@ -108,48 +115,72 @@ def score(table: np.ndarray, value: str) -> float:
     return float(table[padded[:-2], padded[1:-1], padded[2:]].mean())
 
 
-class Model:
-    """The table of log-likelihood ratios and the threshold."""
+def random_model(values: list[str]) -> np.ndarray:
+    return np.log((1 - EVEN) * np.exp(log_model(values)) + EVEN / SIZE)
+
+
+def clean_identifiers(random: np.ndarray, ordinary: list[str], words: list[str]) -> list[str]:
+    """The values of ``ordinary`` that are nearer to ``words``, and to one another, than to random strings."""
+    clean: list[str] = []
+    for _ in range(REFITS):
+        table = random - log_model(words + clean)
+        clean = [value for value in ordinary if score(table, value) <= 0]
+    return clean
 
-    def __init__(self, random: list[str], ordinary: list[str], false_rate: float = FALSE_RATE):
-        half = {name: [sorted(set(values))[i::2] for i in range(2)] for name, values in (("random", random), ("ordinary", ordinary))}
-        self.table = (log_model(half["random"][0]) - log_model(half["ordinary"][0])).astype(np.float32)
-        scores = np.sort([score(self.table, value) for value in half["ordinary"][1]])
+
+class Model:
+    """The table of log-likelihood ratios and the threshold. Without ``words`` all of ``ordinary`` count as identifiers."""
+
+    def __init__(self, random: list[str], ordinary: list[str], false_rate: float = FALSE_RATE, words: list[str] | None = None):
+        drawn = [sorted(set(random))[i::2] for i in range(2)]
+        chances = random_model(drawn[0])
+        words = sorted({form for word in words or [] for form in (word.lower(), word.upper(), word.capitalize())})
+        names = sorted(set(ordinary))
+        names = clean_identifiers(chances, names, words) if words else names
+        self.table = (chances - log_model(words + names[::2])).astype(np.float32)
+        scores = np.sort([score(self.table, value) for value in names[1::2]])
         allowed = int(false_rate * len(scores))
         self.threshold = max(0.0, float(scores[-1 - allowed])) if len(scores) else 0.0
-        self.recall = float(np.mean([score(self.table, value) > self.threshold for value in half["random"][1]] or [0]))
+        self.recall = float(np.mean([score(self.table, value) > self.threshold for value in drawn[1]] or [0]))
 
     def is_secret(self, value: str) -> bool:
         return score(self.table, value) > self.threshold
 
 
-def labelled_values(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_values: int = SAMPLE_VALUES) -> tuple[list[str], list[str]]:
-    """(random strings, identifiers) of a sample of documents chosen by hash."""
+def labelled_values(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_values: int = SAMPLE_VALUES) -> tuple[list[str], list[str], list[str]]:
+    """(random strings, long runs, short words of several texts) of a sample of documents chosen by hash."""
     raw = docs.select(common.whole_text().alias("text"))
     share = min(1.0, sample_docs / max(1, raw.count()))
-    sample = raw.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < round(share * 1_000_000))
-    schema = pa.schema([("random", pa.bool_()), ("value", pa.string())])
+    sample = raw.withColumn("tie", F.xxhash64("text")).filter(F.pmod("tie", F.lit(1_000_000)) < round(share * 1_000_000))
+    schema = pa.schema([("label", pa.string()), ("value", pa.string()), ("low", pa.int64()), ("high", pa.int64())])
 
     def make(batch: pa.RecordBatch) -> dict:
-        rows = set()
-        for text in batch.column(0).to_pylist():
+        ends: dict[tuple[str, str], tuple[int, int]] = {}
+        for text, tie in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             spans, values, _ = base_spans(text)
-            rows.update((True, value[:SAMPLE_LENGTH]) for value in values)
+            rows = {("random", value[:SAMPLE_LENGTH]) for value in values}
             long_runs = [match.span() for match in IDENTIFIER.finditer(text)]
-            rows.update((False, text[start:end][:SAMPLE_LENGTH]) for start, end in _untouched(long_runs, spans))
-        return {"random": [row[0] for row in rows], "value": [row[1] for row in rows]}
-
-    found = sample.mapInArrow(common.arrow_rows(schema, make), "random boolean, value string").distinct()
+            rows.update(("ordinary", text[start:end][:SAMPLE_LENGTH]) for start, end in _untouched(long_runs, spans))
+            rows.update(("word", word.lower()) for word in set(WORD.findall(text)))
+            for row in rows:
+                low, high = ends.get(row, (tie, tie))
+                ends[row] = min(low, tie), max(high, tie)
+        columns = list(zip(*((*row, *end) for row, end in ends.items()), strict=True)) or [[]] * 4
+        return dict(zip(schema.names, map(list, columns), strict=True))
+
+    found = sample.mapInArrow(common.arrow_rows(schema, make), "label string, value string, low bigint, high bigint")
+    found = found.groupBy("label", "value").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    found = common.store(found.filter((F.col("label") != "word") | (F.col("low") < F.col("high"))).select("label", "value"), "labelled")
     out = []
-    for label in (True, False):
-        chosen = found.filter(F.col("random") == label).orderBy(F.xxhash64("value"), "value").limit(sample_values).collect()
+    for label in ("random", "ordinary", "word"):
+        chosen = found.filter(F.col("label") == label).orderBy(F.xxhash64("value"), "value").limit(sample_values).collect()
         out.append([row.value for row in chosen])
-    return out[0], out[1]
+    return out[0], out[1], out[2]
 
 
 def train(docs: DataFrame) -> Model | None:
-    random, ordinary = labelled_values(docs)
-    return Model(random, ordinary) if len(random) > 1 and len(ordinary) > 1 else None
+    random, ordinary, words = labelled_values(docs)
+    return Model(random, ordinary, words=words) if len(random) > 1 and len(ordinary) > 1 else None
 
 
 def scan(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -193,6 +193,22 @@ def test_models_tell_random_strings_from_identifiers():
     assert np.allclose(np.exp(secrets.log_model(names)).sum(-1), 1)
 
 
+@pytest.mark.parametrize("planted", [0, 5, 100, 400])
+def test_training_survives_keys_without_a_pattern(spark, planted):
+    rng = random.Random(planted)
+    marks = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    parts = ["get", "user", "account", "balance", "request", "handler", "thing", "station", "response", "value", "index"]
+    keys = ["".join(rng.choices(marks, k=40)) for _ in range(planted + 100)]
+    names = ["_".join(rng.choices(parts, k=4)) for _ in range(1000)]
+    rows = [(i, f"the {' '.join(rng.choices(parts, k=20))} {name} token={rng.getrandbits(160):040x}", None, None, 0) for i, name in enumerate(names)]
+    rows += [(2000 + i, f"{rng.choice(parts)} {key} of", None, None, 0) for i, key in enumerate(keys[:planted])]
+    model = secrets.train(frame(spark, rows))
+    fresh = [(5000 + i, f"see {key} there", None, None, 0) for i, key in enumerate(keys[planted:])]
+    found = {r.doc_id: r.n_model for r in secrets.scan(frame(spark, rows + fresh), model).collect()}
+    assert sum(n > 0 for i, n in found.items() if i >= 2000) > 0.95 * len(keys)
+    assert sum(n for i, n in found.items() if i < 2000) < 10
+
+
 def test_model_spans_leave_base_spans(spark):
     rng = random.Random(2)
     text = "password=abcdef0123456789abcd and Zk3jQ9xW7vB2nM5pL8rT4yU6 in ordinary_looking_words_of_length"
