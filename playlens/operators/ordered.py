@@ -81,6 +81,77 @@ def with_parts(layout: DataFrame, parts: DataFrame) -> DataFrame:
     return layout.join(F.broadcast(parts), "part")
 
 
+# Totals that merge from partial results: how a group, and how two partial results, combine.
+COMBINE = {
+    "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
+    "xor": (F.bit_xor, lambda a, b: F.coalesce(a.bitwiseXOR(b), a, b)),
+    "max": (F.max, F.greatest),
+    "min": (F.min, F.least),
+}
+
+
+def segment_edges(layout: DataFrame, keys: list[str], totals: dict[str, tuple[str, Column]]) -> DataFrame:
+    """What the earlier and the later ranges hold of the segments that a range limit cuts.
+
+    A segment is all rows of one key; ``layout`` is ordered by ``keys`` first. Only the first and the last segment of a
+    range go on in another one, so there are at most two rows per range, however many keys there are and however many
+    ranges one key fills. Columns: part, keys, ``<name>_earlier`` and ``<name>_later``.
+    """
+    partial = {name: COMBINE[kind][0](value) for name, (kind, value) in totals.items()}
+    ends = layout.groupBy("part").agg(F.max("pos").alias("part_end"))
+    segments = layout.groupBy("part", *keys).agg(
+        F.min("pos").alias("from_pos"), F.max("pos").alias("to_pos"), *[column.alias(name) for name, column in partial.items()]
+    )
+    edges = segments.join(F.broadcast(ends), "part").where((F.col("from_pos") == 0) | (F.col("to_pos") == F.col("part_end")))
+    earlier = before(Window.partitionBy(*keys).orderBy("part"))
+    later = Window.partitionBy(*keys).orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    return edges.select(
+        "part",
+        *keys,
+        *[COMBINE[kind][0](name).over(earlier).alias(f"{name}_earlier") for name, (kind, _) in totals.items()],
+        *[COMBINE[kind][0](name).over(later).alias(f"{name}_later") for name, (kind, _) in totals.items()],
+    )
+
+
+def segment_running(
+    layout: DataFrame,
+    keys: list[str],
+    *,
+    so_far: dict[str, tuple[str, Column]] | None = None,
+    from_here: dict[str, tuple[str, Column]] | None = None,
+) -> DataFrame:
+    """``layout`` with running totals per key: ``so_far`` up to the row, ``from_here`` from the row on, both with the row.
+
+    Rows are shuffled by range and key, so one key with much of the data still spans many tasks; totals are carried
+    between the ranges of a key by ``segment_edges``. Missing keys are one key. A total without a value is null.
+    """
+    so_far, from_here = so_far or {}, from_here or {}
+    totals = so_far | from_here
+    edges = segment_edges(layout, keys, totals)
+    rows = Window.partitionBy("part", *keys).orderBy("pos")
+    onward = rows.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    local = layout.select(
+        "*",
+        *[COMBINE[kind][0](value).over(_so_far(rows)).alias(name) for name, (kind, value) in so_far.items()],
+        *[COMBINE[kind][0](value).over(onward).alias(name) for name, (kind, value) in from_here.items()],
+    )
+    carried = edges.select(*[F.col(name).alias(f"edge_{name}") for name in edges.columns])
+    same = F.col("part") == F.col("edge_part")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"edge_{key}"))
+    merged = {name: (kind, f"edge_{name}_earlier") for name, (kind, _) in so_far.items()}
+    merged |= {name: (kind, f"edge_{name}_later") for name, (kind, _) in from_here.items()}
+    return local.join(F.broadcast(carried), same, "left").select(
+        *layout.columns, *[COMBINE[kind][1](F.col(name), F.col(other)).alias(name) for name, (kind, other) in merged.items()]
+    )
+
+
+def segment_rank(df: DataFrame, keys: list[str], order: list, name: str = "rank", *, partitions: int | None = None) -> DataFrame:
+    """``df`` with its row number from 1 within each key, in ``order``; keys may be missing and may hold most rows."""
+    layout = ordered_layout(df, [*[F.col(key).asc_nulls_first() for key in keys], *order], partitions=partitions)
+    return segment_running(layout, keys, so_far={name: ("sum", F.lit(1).cast("bigint"))}).drop("part", "pos")
+
+
 def global_rank(df: DataFrame, order: list, name: str = "rank", *, partitions: int | None = None) -> DataFrame:
     """``df`` with its row number in ``order``, from 1."""
     layout = ordered_layout(df, order, partitions=partitions)
