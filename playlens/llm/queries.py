@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlens.llm import decontamination, exact_dedup, language_id, line_dedup, mixing, secrets, simhash_dedup, substring_dedup, token_files, url_filter
+from playlens.llm import (
+    decontamination,
+    exact_dedup,
+    language_id,
+    line_dedup,
+    merkle_manifest,
+    mixing,
+    prefix_trie,
+    quality_rules,
+    secrets,
+    simhash_dedup,
+    substring_dedup,
+    token_files,
+    url_filter,
+)
 from playlens.llm.common import read_table
 
 
@@ -57,6 +71,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.train(docs))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.tampered(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_files": op2_token_files,
@@ -68,11 +94,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: Whitespace of the contracts as a DuckDB character class and as a string.
 _CLASS = r"[\x20\x09-\x0D]"
 
+
+def _crc(column: str) -> str:
+    """The unsigned CRC-32 of the decimal digits of an integer in DuckDB: the eight bits of one digit after the other."""
+    bits = "list_reduce([xor(crc, c)] || range(8), lambda r, bit: xor(r >> 1, (r & 1) * 3988292384))"
+    digits = f"list_transform(string_split({column}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce([4294967295::BIGINT] || {digits}, lambda crc, c: {bits}), 4294967295::BIGINT)"
+
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": r"""
         WITH it AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark),
