@@ -18,3 +18,8 @@ def key_name(column: str) -> Column:
     """Name of a key code; NULL for a code that is not tracked."""
     pairs = [F.lit(value) for item in KEY_NAMES.items() for value in item]
     return F.try_element_at(F.create_map(*pairs), F.col(column))
+
+
+def label_of(name: str) -> str:
+    """The label of an event by its bare name."""
+    return " ".join(word.capitalize() for word in name.split("_"))

@@ -161,18 +161,20 @@ def labelled_counter(spans: DataFrame, event: str, *labels: str) -> DataFrame:
     )
 
 
-def counters(attributes: DataFrame) -> DataFrame:
-    """All nine counters in one pass: (instrument, label_1, label_2, total)."""
-    instruments = {
-        **{event: (name, None, None) for event, name in UNLABELLED.items()},
-        "death": ("game.death", "level", None),
-        "level_win": ("level.win", "level", None),
-        "level_start": ("level.start", "level", "difficulty"),
-        "key_press": ("key.press", "key_name", None),
-        "powerup_spawn": ("powerup.spawn", "powerup_type", None),
-    }
+INSTRUMENTS = {
+    **{event: (name, None, None) for event, name in UNLABELLED.items()},
+    "death": ("game.death", "level", None),
+    "level_win": ("level.win", "level", None),
+    "level_start": ("level.start", "level", "difficulty"),
+    "key_press": ("key.press", "key_name", None),
+    "powerup_spawn": ("powerup.spawn", "powerup_type", None),
+}
+
+
+def counted(attributes: DataFrame) -> DataFrame:
+    """The events that a counter counts, with (instrument, label_1, label_2)."""
     name = first = second = None
-    for event, (instrument, label_1, label_2) in instruments.items():
+    for event, (instrument, label_1, label_2) in INSTRUMENTS.items():
         here = is_event(event)
         name = F.when(here, instrument) if name is None else name.when(here, instrument)
         for label, position in ((label_1, 1), (label_2, 2)):
@@ -180,21 +182,22 @@ def counters(attributes: DataFrame) -> DataFrame:
                 first = F.when(here, _label(label)) if first is None else first.when(here, _label(label))
             elif label:
                 second = F.when(here, _label(label)) if second is None else second.when(here, _label(label))
-    return (
-        attributes.where(is_event(*instruments))
-        .groupBy(name.alias("instrument"), first.alias("label_1"), second.alias("label_2"))
-        .agg(F.count("*").alias("total"))
-    )
+    return attributes.where(is_event(*INSTRUMENTS)).withColumns({"instrument": name, "label_1": first, "label_2": second})
+
+
+def counters(attributes: DataFrame) -> DataFrame:
+    """All nine counters in one pass: (instrument, label_1, label_2, total)."""
+    return counted(attributes).groupBy("instrument", "label_1", "label_2").agg(F.count("*").alias("total"))
 
 
-def duration_buckets(attributes: DataFrame, bounds=HISTOGRAM_BOUNDS, event: str = "session_end") -> DataFrame:
-    """One row per recorded duration: (bucket, duration).
+def duration_buckets(attributes: DataFrame, bounds=HISTOGRAM_BOUNDS, event: str = "session_end", *, also: tuple[str, ...] = ()):
+    """One row per recorded duration: (bucket, duration), and the columns ``also`` of the event.
 
     ``bucket`` is the number of bounds below the value, so bounds are inclusive at the top.
     """
     duration = F.coalesce("duration", "session_duration", F.lit(0.0))
     bucket = sum(((F.col("duration") > bound).cast("int") for bound in bounds), F.lit(0))
-    return attributes.where(is_event(event)).select(duration.alias("duration")).withColumn("bucket", bucket)
+    return attributes.where(is_event(event)).select(duration.alias("duration"), *also).withColumn("bucket", bucket)
 
 
 def session_duration_histogram(attributes: DataFrame, bounds=HISTOGRAM_BOUNDS, event: str = "session_end"):

@@ -45,8 +45,12 @@ def leaderboard(
         F.col("duration").try_cast("double").alias("duration"),
         local_time("timestamp", zone).alias("game_time"),
     )
+    return numbered(typed.orderBy(*best_first(F.col("coins"), F.col("duration"))).limit(limit))
+
+
+def numbered(best: DataFrame) -> DataFrame:
+    """The best games with their places."""
     order = best_first(F.col("coins"), F.col("duration"))
-    best = typed.orderBy(*order).limit(limit)
     return best.select(
         F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("rank"),
         "player_name",

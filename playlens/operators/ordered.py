@@ -104,7 +104,7 @@ def segment_edges(layout: DataFrame, keys: list[str], totals: dict[str, tuple[st
     )
     edges = segments.join(F.broadcast(ends), "part").where((F.col("from_pos") == 0) | (F.col("to_pos") == F.col("part_end")))
     earlier = before(Window.partitionBy(*keys).orderBy("part"))
-    later = Window.partitionBy(*keys).orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    later = before(Window.partitionBy(*keys).orderBy(F.desc("part")))
     return edges.select(
         "part",
         *keys,
@@ -118,29 +118,26 @@ def segment_running(
     keys: list[str],
     *,
     so_far: dict[str, tuple[str, Column]] | None = None,
+    until: dict[str, tuple[str, Column]] | None = None,
     from_here: dict[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
-    """``layout`` with running totals per key: ``so_far`` up to the row, ``from_here`` from the row on, both with the row.
+    """``layout`` with running totals per key: ``so_far`` up to the row, ``until`` before it, ``from_here`` from it on.
 
     Rows are shuffled by range and key, so one key with much of the data still spans many tasks; totals are carried
     between the ranges of a key by ``segment_edges``. Missing keys are one key. A total without a value is null.
     """
-    so_far, from_here = so_far or {}, from_here or {}
-    totals = so_far | from_here
-    edges = segment_edges(layout, keys, totals)
     rows = Window.partitionBy("part", *keys).orderBy("pos")
-    onward = rows.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    onward = _so_far(Window.partitionBy("part", *keys).orderBy(F.desc("pos")))
+    asked = [(so_far or {}, _so_far(rows), "earlier"), (until or {}, before(rows), "earlier"), (from_here or {}, onward, "later")]
+    edges = segment_edges(layout, keys, {name: total for totals, _, _ in asked for name, total in totals.items()})
     local = layout.select(
-        "*",
-        *[COMBINE[kind][0](value).over(_so_far(rows)).alias(name) for name, (kind, value) in so_far.items()],
-        *[COMBINE[kind][0](value).over(onward).alias(name) for name, (kind, value) in from_here.items()],
+        "*", *[COMBINE[kind][0](value).over(frame).alias(name) for totals, frame, _ in asked for name, (kind, value) in totals.items()]
     )
     carried = edges.select(*[F.col(name).alias(f"edge_{name}") for name in edges.columns])
     same = F.col("part") == F.col("edge_part")
     for key in keys:
         same = same & F.col(key).eqNullSafe(F.col(f"edge_{key}"))
-    merged = {name: (kind, f"edge_{name}_earlier") for name, (kind, _) in so_far.items()}
-    merged |= {name: (kind, f"edge_{name}_later") for name, (kind, _) in from_here.items()}
+    merged = {name: (kind, f"edge_{name}_{side}") for totals, _, side in asked for name, (kind, _) in totals.items()}
     return local.join(F.broadcast(carried), same, "left").select(
         *layout.columns, *[COMBINE[kind][1](F.col(name), F.col(other)).alias(name) for name, (kind, other) in merged.items()]
     )

@@ -80,6 +80,21 @@ def game_metrics(event_table: DataFrame, *, service: str | None = DEFAULT_SERVIC
     )
 
 
+def histogram_points(event_table: DataFrame, *, service: str | None = DEFAULT_SERVICE) -> DataFrame:
+    """The points of exported histograms."""
+    rows = scan_service_records(event_table, service, "METRIC").where(text("record", "metric", "type") == "histogram")
+    return rows.select(
+        "event_id",
+        "timestamp",
+        text("record", "metric", "name").alias("metric_name"),
+        F.try_variant_get("value", "$.count", "bigint").alias("total"),
+        double("value", "sum").alias("sum_value"),
+        double("value", "min").alias("min_value"),
+        double("value", "max").alias("max_value"),
+        F.try_variant_get("value", "$.bucket_counts", "array<bigint>").alias("bucket_counts"),
+    )
+
+
 def game_traces(event_table: DataFrame, *, service: str | None = DEFAULT_SERVICE) -> DataFrame:
     return scan_service_records(event_table, service, "SPAN").select(
         "event_id",

@@ -7,7 +7,8 @@ depends only on when the last event before it was kept, and only events close to
 be its first kept one. So:
 
 1. each slice is reduced to its possible first events and the last kept event of each;
-2. walking these along the slices of a key tells when the chain was last kept before every slice;
+2. walking these along the slices of a key tells when the chain was last kept before every slice; the walk may start
+   from what was kept before the first one, which lets a stream go on;
 3. each slice marks its own events.
 
 Times are whole milliseconds and equal times collapse to one event beforehand, so however much
@@ -96,8 +97,13 @@ def _successors(frame: pd.DataFrame, gap_ms: int, slice_ms: int) -> tuple[np.nda
     return group, offset, np.where(inside, following, here)
 
 
-def key_throttle(spans: DataFrame, *, gap_ms: int = KEY_REPEAT_MS, slice_ms: int = HOUR_MS) -> DataFrame:
-    """The key presses that survive the throttle."""
+def key_throttle(
+    spans: DataFrame, *, gap_ms: int = KEY_REPEAT_MS, slice_ms: int = HOUR_MS, kept_before: DataFrame | None = None
+) -> DataFrame:
+    """The key presses that survive the throttle.
+
+    ``kept_before`` (player, key, ``last_ms``) tells when an event of a key was last kept; an older event is dropped.
+    """
 
     def reduce_slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _whole_slices(batches):
@@ -123,6 +129,9 @@ def key_throttle(spans: DataFrame, *, gap_ms: int = KEY_REPEAT_MS, slice_ms: int
             for i, (player, name, part, entry, leave) in enumerate(rows):
                 if (player, name) != key:
                     key, number, last = (player, name), None, NEVER
+                if part == NEVER:
+                    last = leave
+                    continue
                 if part != number:
                     number, before = part, last
                     heads.append(i)
@@ -155,6 +164,12 @@ def key_throttle(spans: DataFrame, *, gap_ms: int = KEY_REPEAT_MS, slice_ms: int
         .sortWithinPartitions(*SLICE, "at_ms")
         .mapInPandas(reduce_slices, f"{key_type}, entry_ms long, exit_ms long")
     )
+    if kept_before is not None:
+        asked = spans.where(is_event("key_press")).select(*[F.col(name).alias(f"asked_{name}") for name in KEYS]).distinct()
+        same = [F.col(name).eqNullSafe(F.col(f"asked_{name}")) for name in KEYS]
+        never, last = F.lit(NEVER).cast("bigint"), F.col("last_ms").cast("bigint")
+        started = kept_before.join(asked, same, "leftsemi").select(*KEYS, never.alias("slice"), last.alias("entry_ms"), last.alias("exit_ms"))
+        reduced = reduced.unionByName(started)
     entered = (
         reduced.repartition(*KEYS)
         .sortWithinPartitions(*SLICE, "entry_ms")

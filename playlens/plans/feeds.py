@@ -43,7 +43,15 @@ def event_feed(
     as_text: bool = False,
 ) -> DataFrame:
     """Newest events other than key presses, in local time."""
-    rows = newest(of_player(game_events, player).where(not_event("key_press")), limit)
+    return shown_feed(newest(fed(game_events, player), limit), zone=zone, as_text=as_text)
+
+
+def fed(game_events: DataFrame, player: str | None = None) -> DataFrame:
+    """The events that feeds list."""
+    return of_player(game_events, player).where(not_event("key_press"))
+
+
+def shown_feed(rows: DataFrame, *, zone: str = DEFAULT_ZONE, as_text: bool = False) -> DataFrame:
     shown = local_text("timestamp", zone) if as_text else local_time("timestamp", zone)
     return rows.select(*FEED, shown.alias("timestamp"))
 
@@ -61,7 +69,15 @@ def timeline(event_timeline: DataFrame, *, limit: int | None = None, zone: str |
 
 def recent_sessions(game_events: DataFrame, *, limit: int = 50, player: str | None = None) -> DataFrame:
     """Newest finished games."""
-    return newest(of_player(game_events, player).where(is_event("game_over")), limit).select(
+    return shown_sessions(newest(finished(game_events, player), limit))
+
+
+def finished(game_events: DataFrame, player: str | None = None) -> DataFrame:
+    return of_player(game_events, player).where(is_event("game_over"))
+
+
+def shown_sessions(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "player_name",
         F.col("timestamp").alias("session_start"),
         "level",

@@ -19,13 +19,15 @@ from playlens.operators import aggregates, leaderboard, platform, projections, r
 from playlens.operators.ordered import assign_interval
 from playlens.operators.throttle import key_throttle
 from playlens.plans import feeds, rollups, verified
+from playlens.plans.live_layer import LiveLayer
 from playlens.session import new_path
 from playlens.sources import bindings, event_table, ingest, live_store
 from playlens.sources.bindings import Telemetry, bind
 from playlens.streaming import live_tables
 from playlens.streaming.ingest import stream_ingest as stream_requests
 from playlens.streaming.ingest import stream_quarantine as stream_rejected
-from playlens.streaming.throttle import throttled_keys
+from playlens.streaming.metrics import MetricExport
+from playlens.streaming.throttle import ThrottledKeys
 
 Query = Callable[[Telemetry], DataFrame]
 
@@ -42,13 +44,29 @@ def add(**entries: Query) -> None:
     QUERIES.update(entries)
 
 
+#: The stored layers of this process, by application and data folder.
+LAYERS: dict[tuple[str, str], LiveLayer] = {}
+
+
+def layer(t: Telemetry) -> LiveLayer:
+    """The stored layer over the given events. It is built when a query first asks for it, and dashboards read it from then on."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in LAYERS:
+        built = LiveLayer(t.spark, new_path(t.spark, "layer"))
+        built.append_records(t.event_table)
+        built.refresh()
+        LAYERS[key] = built
+    return LAYERS[key]
+
+
 def live(t: Telemetry, name: str) -> DataFrame:
-    """A live table as defined over the game events."""
-    return live_store.LIVE_TABLES[name].build(t.game_events)
+    """A live table as it is stored."""
+    return layer(t).table(name)
 
 
-def all_live(t: Telemetry) -> dict[str, DataFrame]:
-    return {name: live(t, name) for name in live_store.LIVE_TABLES}
+def defined(t: Telemetry, name: str) -> DataFrame:
+    """A live table as defined over the game events."""
+    return live_store.LIVE_TABLES[name].build(t.game_events)
 
 
 # --- scans and ingest -----------------------------------------------------------
@@ -84,6 +102,20 @@ def ingest_requests(t: Telemetry) -> DataFrame:
     return good.select("event_id", "timestamp", "name", "player_name")
 
 
+@query
+def ingest_posts(t: Telemetry) -> DataFrame:
+    """Events of GET and POST requests."""
+    good, _ = ingest.ingest_requests(t.mixed_requests)
+    attribute = lambda name: F.try_element_at("attributes", F.lit(name)).alias(name)
+    return good.select("event_id", "timestamp", "name", "player_name", attribute("level"), attribute("lives"))
+
+
+@query
+def ingest_posts_malformed(t: Telemetry) -> DataFrame:
+    _, quarantine = ingest.ingest_requests(t.mixed_requests)
+    return quarantine.select("event_id", "request_uri", "payload")
+
+
 @query
 def ingest_drop_malformed(t: Telemetry) -> DataFrame:
     _, quarantine = ingest.ingest_requests(t.requests)
@@ -150,6 +182,16 @@ def refresh_live_tables(t: Telemetry) -> DataFrame:
     return rollups.live_table_profile(tables).select("table_name", "total_rows")
 
 
+@query
+def refresh_new_files(t: Telemetry) -> DataFrame:
+    """The event table in two parts, and a refresh after each that reads only the new one; rows of each table."""
+    records, folder = new_path(t.spark, "records"), new_path(t.spark, "live")
+    for part in (0, 1):
+        event_table.write_event_table(t.event_table.where(F.col("event_id") % 2 == part), records, by_day=False)
+        live_tables.refresh_new_files(t.spark, records, folder)
+    return _streamed_profile(t, folder)
+
+
 @query
 def scan_live_table(t: Telemetry) -> DataFrame:
     folder = new_path(t.spark, "live")
@@ -160,7 +202,7 @@ def scan_live_table(t: Telemetry) -> DataFrame:
 
 @query
 def cluster_layout(t: Telemetry) -> DataFrame:
-    return live_store.cluster_layout(live(t, "key_presses"), live_store.LIVE_TABLES["key_presses"].cluster_by)
+    return live_store.cluster_layout(defined(t, "key_presses"), live_store.LIVE_TABLES["key_presses"].cluster_by)
 
 
 # --- projections and predicates -------------------------------------------------
@@ -181,7 +223,7 @@ add(
     recent_logs_6h=lambda t: feeds.recent_logs(t.event_table, minutes=360),
     latest_raw_span=lambda t: feeds.latest_raw_span(t.event_table),
     latest_view_event=lambda t: feeds.newest(t.game_events, 1),
-    latest_live_event=lambda t: feeds.newest(live(t, "game_events"), 1),
+    latest_live_event=lambda t: layer(t).newest(1),
     pred_prefix=lambda t: t.spans.where(predicates.has_prefix("game.game_")).select("event_id", "event_type"),
     pred_exclude=lambda t: t.spans.where(predicates.not_event("key_press")).select("event_id", "event_type"),
     pred_metric_in=lambda t: t.metrics.where(F.col("metric_name").isin(v.CONNECTIONS, v.CONNECTION_RATE)).select(
@@ -223,12 +265,15 @@ add(
     session_match=lambda t: sessions.session_match(t.spans, sessions.session_core(t.spans)),
     session_deaths=lambda t: sessions.session_deaths(sessions.session_core(t.spans)),
     session_levels=lambda t: sessions.session_levels(sessions.session_core(t.spans)),
-    session_enrich=lambda t: sessions.game_sessions(t.spans),
+    session_enrich=lambda t: _enriched(t),
     game_sessions=lambda t: sessions.game_sessions(t.spans),
+    game_sessions_by_player=lambda t: sessions.game_sessions(t.spans, partition_by_player=True),
     game_sessions_as_of=lambda t: sessions.game_sessions(t.spans, as_of="2024-01-15 12:00:00"),
     game_sessions_15=lambda t: sessions.game_sessions(t.spans).orderBy(F.desc("session_start"), F.desc("session_id")).limit(15),
     avg_stats=lambda t: sessions.avg_stats(sessions.game_sessions(t.spans), aggregates.player_stats(t.spans)),
-    avg_stats_cross=lambda t: sessions.avg_stats(sessions.game_sessions(t.spans), aggregates.player_stats(t.spans)),
+    avg_stats_cross=lambda t: sessions.avg_stats_cross(
+        sessions.game_sessions(t.spans), aggregates.player_stats(t.spans).select("player_name", "total_games", "total_deaths")
+    ),
     avg_stats_single=lambda t: sessions.avg_stats(
         sessions.game_sessions(t.spans), aggregates.player_stats(t.spans), single_row=True
     ),
@@ -240,9 +285,9 @@ add(
     top_scores=lambda t: leaderboard.top_scores(t.spans),
     top_scores_all=lambda t: leaderboard.top_scores(t.spans, hours=None),
     top_scores_20=lambda t: leaderboard.top_scores(t.spans).orderBy("rank").limit(20),
-    leaderboard=lambda t: leaderboard.leaderboard(t.game_events),
-    leaderboard_text=lambda t: leaderboard.leaderboard(t.game_events)
-    .withColumn("game_time", F.date_format("game_time", "yyyy-MM-dd'T'HH:mm:ss")),
+    leaderboard=lambda t: layer(t).leaderboard(),
+    leaderboard_text=lambda t: layer(t).leaderboard(as_text=True),
+    leaderboard_view=lambda t: leaderboard.leaderboard(t.game_events),
     rel_events_keys=lambda t: relationships.join_relationship(
         t.game_events.select("event_id", "event_type", "player_name", "key_name"),
         live(t, "key_presses"),
@@ -259,6 +304,12 @@ add(
 )
 
 
+def _enriched(t: Telemetry) -> DataFrame:
+    """The report joined from the matched sessions, their deaths and their levels."""
+    core = sessions.session_core(t.spans)
+    return sessions.session_enrich(sessions.session_match(t.spans, core), sessions.session_deaths(core), sessions.session_levels(core))
+
+
 def _cardinalities(t: Telemetry) -> DataFrame:
     checks = (
         ("game_events", "key_presses", ["player_name", "key_name"]),
@@ -299,7 +350,8 @@ add(
     deaths_by_level=lambda t: aggregates.deaths_by_level(t.spans),
     powerups=lambda t: aggregates.powerups(t.spans),
     player_sessions=lambda t: aggregates.player_sessions(t.spans),
-    record_type_counts=lambda t: aggregates.record_type_counts(event_table.scan_service_records(t.event_table)),
+    record_type_counts=lambda t: layer(t).record_type_counts(),
+    record_type_counts_view=lambda t: aggregates.record_type_counts(event_table.scan_service_records(t.event_table)),
     metric_inventory=lambda t: aggregates.metric_inventory(t.metrics),
     cpu_usage=lambda t: platform.cpu_usage(t.metrics, minutes=360),
     cpu_usage_all=lambda t: platform.cpu_usage(t.metrics, zone=v.DEFAULT_ZONE),
@@ -322,17 +374,21 @@ add(
     event_distribution_24h=lambda t: aggregates.event_distribution(t.all_spans, hours=24),
     unique_players_1h=lambda t: aggregates.unique_players(t.all_spans),
     distinct_players=lambda t: aggregates.unique_players(t.all_spans, hours=None),
-    players_list=lambda t: aggregates.players_list(t.game_events),
-    kpi_totals=lambda t: rollups.kpi_totals(t.game_events, live(t, "powerups")),
-    kpi_totals_player=lambda t: rollups.kpi_totals(t.game_events, live(t, "powerups"), player=PLAYER),
-    health_check=lambda t: rollups.health_check(event_table.scan_service_records(t.event_table), all_live(t)),
+    unique_players_live_1h=lambda t: layer(t).unique_players(),
+    unique_players_live_24h=lambda t: layer(t).unique_players(hours=24),
+    players_list=lambda t: aggregates.players_list(live(t, "game_events")),
+    kpi_totals=lambda t: rollups.kpi_totals(live(t, "game_events"), live(t, "powerups")),
+    kpi_totals_player=lambda t: rollups.kpi_totals(live(t, "game_events"), live(t, "powerups"), player=PLAYER),
+    health_check=lambda t: layer(t).health_check(),
     deaths_rollup=lambda t: rollups.deaths_rollup(live(t, "deaths_by_level")),
     deaths_rollup_player=lambda t: rollups.deaths_rollup(live(t, "deaths_by_level"), player=PLAYER),
     keys_rollup=lambda t: rollups.keys_rollup(live(t, "key_presses")),
+    keys_rollup_player=lambda t: rollups.keys_rollup(live(t, "key_presses"), player=PLAYER),
     powerups_rollup=lambda t: rollups.powerups_rollup(live(t, "powerups")),
-    recent_event_distribution=lambda t: rollups.recent_event_distribution(t.game_events),
-    timeline_pivot=lambda t: rollups.timeline_pivot(live(t, "event_timeline")),
-    timeline_pivot_last30=lambda t: rollups.timeline_pivot_recent(live(t, "event_timeline")),
+    powerups_rollup_player=lambda t: rollups.powerups_rollup(live(t, "powerups"), player=PLAYER),
+    recent_event_distribution=lambda t: rollups.recent_event_distribution(layer(t).event_feed(limit=200)),
+    timeline_pivot=lambda t: rollups.timeline_pivot(live(t, "event_timeline"), event_types=_labels()),
+    timeline_pivot_last30=lambda t: rollups.timeline_pivot_recent(live(t, "event_timeline"), event_types=_labels()),
     event_types=lambda t: rollups.event_types(live(t, "event_timeline")),
     counter_events=lambda t: aggregates.counter_events(t.spans),
     counter_death_level=lambda t: aggregates.labelled_counter(t.spans, "death", "level"),
@@ -349,6 +405,11 @@ add(
 )
 
 
+def _labels() -> list[str]:
+    """The labels of the events that the given tables hold, which a pivot would else look for in a job of its own."""
+    return [labels.label_of(name) for name in ("coin", "death", "game_over", "game_start", "level_start", "level_win", "powerup_spawn")]
+
+
 def _rounded_sum(histogram: DataFrame) -> DataFrame:
     """Sums of doubles differ in the last digits with the order of addition."""
     return histogram.withColumn("sum_duration", F.round("sum_duration", 2))
@@ -357,17 +418,20 @@ def _rounded_sum(histogram: DataFrame) -> DataFrame:
 # --- lists ----------------------------------------------------------------------
 
 add(
-    live_events_25=lambda t: feeds.newest(live(t, "game_events"), 25),
-    live_events_10=lambda t: feeds.newest(live(t, "game_events"), 10),
+    live_events_25=lambda t: layer(t).newest(25),
+    live_events_10=lambda t: layer(t).newest(10),
     view_events_10=lambda t: feeds.newest(t.game_events, 10),
-    event_feed_500=lambda t: feeds.event_feed(t.game_events, limit=500),
-    event_feed_200=lambda t: feeds.event_feed(t.game_events, limit=200, as_text=True),
-    event_feed_player=lambda t: feeds.event_feed(t.game_events, limit=200, player=PLAYER, as_text=True),
+    event_feed_500=lambda t: layer(t).event_feed(limit=500),
+    event_feed_200=lambda t: layer(t).event_feed(limit=200, as_text=True),
+    event_feed_player=lambda t: layer(t).event_feed(limit=200, player=PLAYER, as_text=True),
+    event_feed_view=lambda t: feeds.event_feed(t.game_events, limit=500),
     timeline_20=lambda t: feeds.timeline(live(t, "event_timeline"), limit=20),
     timeline_10=lambda t: feeds.timeline(live(t, "event_timeline"), limit=10),
     timeline_500=lambda t: feeds.timeline(live(t, "event_timeline"), limit=500, zone=v.DEFAULT_ZONE, as_text=True),
     timeline_all=lambda t: feeds.timeline(live(t, "event_timeline"), zone=v.DEFAULT_ZONE),
-    recent_sessions_50=lambda t: feeds.recent_sessions(t.game_events),
+    recent_sessions_50=lambda t: layer(t).recent_sessions(),
+    recent_sessions_player=lambda t: layer(t).recent_sessions(player=PLAYER),
+    recent_sessions_view=lambda t: feeds.recent_sessions(t.game_events),
     player_sessions_desc=lambda t: feeds.largest(live(t, "player_sessions"), "session_start"),
     player_stats_by_coins=lambda t: feeds.largest(aggregates.player_stats(t.spans), "total_coins_collected"),
     deaths_desc=lambda t: feeds.largest(live(t, "deaths_by_level"), "deaths"),
@@ -378,7 +442,7 @@ add(
     sample_traces=lambda t: feeds.sample(projections.game_traces(t.event_table)).select(
         "timestamp", "span_name", "player_name", "trace_id", "span_id"
     ),
-    live_table_profile=lambda t: rollups.live_table_profile(all_live(t)),
+    live_table_profile=lambda t: layer(t).profile(),
 )
 
 # --- scalar functions -----------------------------------------------------------
@@ -402,15 +466,17 @@ add(
 # --- verified questions ---------------------------------------------------------
 
 add(
-    vq_event_frequency=lambda t: verified.event_frequency(t.game_events),
+    vq_event_frequency=lambda t: verified.event_frequency(live(t, "game_events")),
     vq_deaths_per_level=lambda t: verified.deaths_per_level(live(t, "deaths_by_level")),
     vq_key_frequency=lambda t: verified.key_frequency(live(t, "key_presses")),
     vq_powerup_totals=lambda t: verified.powerup_totals(live(t, "powerups")),
     vq_sessions_by_coins=lambda t: verified.sessions_by_coins(live(t, "player_sessions")),
-    vq_events_per_hour=lambda t: verified.events_per_hour(t.game_events),
+    vq_events_per_hour=lambda t: verified.events_per_hour(live(t, "game_events")),
     vq_recent_timeline=lambda t: verified.recent_timeline(live(t, "event_timeline")),
     vq_powerups_by_level=lambda t: verified.powerups_by_level(live(t, "powerups")),
-    vq_activity_summary=lambda t: verified.activity_summary(t.game_events),
+    vq_activity_summary=lambda t: layer(t).activity_summary(),
+    vq_activity_summary_24h=lambda t: layer(t).activity_summary(hours=24),
+    vq_activity_summary_view=lambda t: verified.activity_summary(t.game_events),
     vq_session_outcomes=lambda t: verified.session_outcomes(live(t, "player_sessions")),
     vq_session_minutes=lambda t: verified.session_minutes(live(t, "player_sessions")),
     vq_player_sessions=lambda t: verified.sessions_per_player(live(t, "player_sessions")),
@@ -485,10 +551,14 @@ def stream_live_tables(t: Telemetry) -> DataFrame:
     live_tables.stream_live_tables(
         _flat_stream(t), folder=folder, checkpoint=new_path(t.spark, "checkpoint"), trigger=ONCE
     ).awaitTermination()
-    tables = {"game_events": t.spark.read.parquet(f"{folder}/game_events")}
-    for name in live_store.LIVE_TABLES:
-        if name != "game_events":
-            tables[name] = live_tables.read_live(t.spark, f"{folder}/{name}", live_tables.RUNNING_TABLES[name])
+    return _streamed_profile(t, folder)
+
+
+def _streamed_profile(t: Telemetry, folder: str) -> DataFrame:
+    """Rows of each streamed live table."""
+    tables = {"game_events": live_tables.read_live_events(t.spark, folder)}
+    for name in live_tables.NAMES:
+        tables[name] = live_tables.read_live(t.spark, f"{folder}/{name}", live_tables.RUNNING_TABLES[name])
     return rollups.live_table_profile(tables).select("table_name", "total_rows")
 
 
@@ -505,16 +575,21 @@ def stream_closed_minutes(t: Telemetry) -> DataFrame:
     return t.spark.read.parquet(path).withColumn("minute", F.col("minute").cast("timestamp_ntz"))
 
 
-@query
-def stream_ingest(t: Telemetry) -> DataFrame:
-    path = new_path(t.spark, "event_table")
-    requests = bind(bindings.REQUESTS, t.events_stream())
-    stream_requests(
-        requests, path=path, checkpoint=new_path(t.spark, "checkpoint"), trigger=ONCE
-    ).awaitTermination()
-    return projections.game_events(event_table.read_event_table(t.spark, path)).select(
-        "event_id", "timestamp", "event_type", "player_name", "level", "lives"
-    )
+def _ingested(statement: str) -> Query:
+    def run(t: Telemetry) -> DataFrame:
+        path = new_path(t.spark, "event_table")
+        requests = bind(statement, t.events_stream())
+        stream_requests(
+            requests, path=path, checkpoint=new_path(t.spark, "checkpoint"), trigger=ONCE
+        ).awaitTermination()
+        return projections.game_events(event_table.read_event_table(t.spark, path)).select(
+            "event_id", "timestamp", "event_type", "player_name", "level", "lives"
+        )
+
+    return run
+
+
+add(stream_ingest=_ingested(bindings.REQUESTS), stream_ingest_posts=_ingested(bindings.MIXED_REQUESTS))
 
 
 @query
@@ -526,19 +601,48 @@ def stream_quarantine(t: Telemetry) -> DataFrame:
 
 
 add(
-    freshness=lambda t: rollups.freshness(t.game_events, as_of=predicates.now_of(t.event_table)),
+    freshness=lambda t: layer(t).freshness(),
+    freshness_view=lambda t: rollups.freshness(t.game_events, as_of=predicates.now_of(t.event_table)),
     key_throttle=lambda t: key_throttle(t.spans),
     key_throttle_6h=lambda t: key_throttle(t.spans, gap_ms=6 * 3_600_000, slice_ms=24 * 3_600_000),
 )
 
 
+def _throttled(**options) -> Query:
+    def run(t: Telemetry) -> DataFrame:
+        kept = ThrottledKeys(new_path(t.spark, "kept_keys"), **options)
+        kept.stream(_flat_stream(t), checkpoint=new_path(t.spark, "checkpoint"), trigger=ONCE).awaitTermination()
+        return kept.read(t.spark)
+
+    return run
+
+
+add(
+    stream_key_throttle=_throttled(),
+    stream_key_throttle_6h=_throttled(gap_ms=6 * 3_600_000, slice_ms=24 * 3_600_000),
+)
+
+
 @query
-def stream_key_throttle(t: Telemetry) -> DataFrame:
-    path = new_path(t.spark, "kept_keys")
-    live_tables.stream_game_events(
-        throttled_keys(_flat_stream(t)), path=path, checkpoint=new_path(t.spark, "checkpoint"), trigger=ONCE
-    ).awaitTermination()
-    return t.spark.read.parquet(path).drop("at_ms")
+def stream_metrics(t: Telemetry) -> DataFrame:
+    """The collector's instruments exported from a stream of requests, read back as metrics."""
+    export = MetricExport(new_path(t.spark, "metrics"))
+    requests = bind(bindings.REQUESTS, t.events_stream())
+    export.stream_requests(requests, checkpoint=new_path(t.spark, "checkpoint"), trigger=ONCE).awaitTermination()
+    return projections.game_metrics(export.read(t.spark)).select(
+        "timestamp", "metric_name", "metric_value", "scope", json_text("record_attributes").alias("record_attributes")
+    )
+
+
+@query
+def stream_metric_histogram(t: Telemetry) -> DataFrame:
+    """The histogram of session durations exported from a stream, point by point."""
+    export = MetricExport(new_path(t.spark, "metrics"))
+    ends = bind(bindings.SESSION_ENDS, t.events_stream())
+    none = {name: F.lit(None).cast("string") for name in ("level", "difficulty", "key_name", "powerup_type")}
+    export.stream(ends.withColumns(none), checkpoint=new_path(t.spark, "checkpoint"), trigger=ONCE).awaitTermination()
+    points = projections.histogram_points(export.read(t.spark)).withColumn("bucket_counts", F.to_json("bucket_counts"))
+    return points.withColumn("sum_value", F.round("sum_value", 4)).drop("event_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

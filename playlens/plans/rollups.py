@@ -9,7 +9,7 @@ from playlens.functions.labels import event_label
 from playlens.functions.predicates import of_player
 from playlens.functions.timefns import ago, boundary_diff, now_of
 from playlens.operators.aggregates import count_of
-from playlens.plans.feeds import event_feed, timeline
+from playlens.plans.feeds import timeline
 from playlens.vocabulary import TIME_RANGES
 
 
@@ -63,13 +63,9 @@ def events_per_range(spans: DataFrame, *, as_of=None) -> DataFrame:
     return spans.agg(F.array(*pairs).alias("ranges")).select(F.inline("ranges"))
 
 
-def recent_event_distribution(game_events: DataFrame, *, newest: int = 200, player: str | None = None) -> DataFrame:
-    """What the newest events consist of."""
-    return (
-        event_feed(game_events, limit=newest, player=player)
-        .groupBy(event_label().alias("name"))
-        .agg(F.count("*").alias("events"))
-    )
+def recent_event_distribution(feed: DataFrame) -> DataFrame:
+    """What the newest events consist of, from a feed of them."""
+    return feed.groupBy(event_label().alias("name")).agg(F.count("*").alias("events"))
 
 
 def timeline_pivot(event_timeline: DataFrame, *, event_types: list[str] | None = None) -> DataFrame:

@@ -77,6 +77,15 @@ SELECT event_id, ts, CASE WHEN user_id % 10 = 3 THEN concat(' user_', cast(user_
 FROM {events}
 """
 
+#: Every third request as a POST with the payload as its body.
+MIXED_REQUESTS = f"""
+SELECT event_id, ts, user_header,
+ CASE WHEN event_id % 3 = 0 THEN regexp_replace(request_uri, '[?].*', '') ELSE request_uri END AS request_uri,
+ CASE WHEN event_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method,
+ CASE WHEN event_id % 3 = 0 THEN url_decode(regexp_extract(request_uri, 'd=([^&]*)', 1)) END AS body
+FROM ({REQUESTS}) r
+"""
+
 KEY_CODES = """
 SELECT event_id, ts AS timestamp, cast(CASE user_id % 8 WHEN 0 THEN 37 WHEN 1 THEN 38 WHEN 2 THEN 39 WHEN 3 THEN 40
   WHEN 4 THEN 65 WHEN 5 THEN 83 WHEN 6 THEN 13 ELSE 32 END as int) AS key_code
@@ -166,6 +175,11 @@ class Telemetry:
     def requests(self) -> DataFrame:
         return self.bound(REQUESTS)
 
+    @cached_property
+    def mixed_requests(self) -> DataFrame:
+        """GET and POST requests."""
+        return self.bound(MIXED_REQUESTS)
+
 
 def span_attributes(spans: DataFrame) -> DataFrame:
     """The flat columns packed into a map of text attributes, as a producer sends them."""

@@ -71,6 +71,26 @@ def metric_records(metrics: DataFrame, service: str = DEFAULT_SERVICE, scope: st
     )
 
 
+def instrument_records(points: DataFrame, service: str = DEFAULT_SERVICE, scope: str = "collector") -> DataFrame:
+    """METRIC rows from (timestamp, since, metric_name, kind, labels map, value VARIANT) of cumulative instruments.
+
+    ``since`` is when the instrument's first event came. A point has no id of its own; its id follows from its content.
+    """
+    content = F.xxhash64("metric_name", F.to_json("labels"), F.col("timestamp").cast("string"), F.col("value").cast("string"))
+    return points.select(
+        F.col("timestamp"),
+        content.bitwiseAND(F.lit((1 << 63) - 1)).alias("event_id"),
+        F.col("since").alias("start_timestamp"),
+        F.lit("METRIC").alias("record_type"),
+        _object(metric=F.struct(F.col("metric_name").alias("name"), F.col("kind").alias("type"))).alias("record"),
+        F.to_variant_object("labels").alias("record_attributes"),
+        _resource(service).alias("resource_attributes"),
+        _object(name=F.lit(scope)).alias("scope"),
+        _nothing().alias("trace"),
+        "value",
+    ).select(*COLUMNS)
+
+
 def log_records(logs: DataFrame, service: str = DEFAULT_SERVICE) -> DataFrame:
     """LOG rows from (event_id, timestamp, severity, log_message)."""
     return logs.select(
@@ -103,8 +123,10 @@ def split_by_record_type(event_table: DataFrame, service: str | None = DEFAULT_S
     return {kind: scan_service_records(event_table, service, kind) for kind in ("SPAN", "METRIC", "LOG")}
 
 
-def write_event_table(event_table: DataFrame, path: str, mode: str = "append", *, by_day: bool = True) -> None:
-    """Store records by type, and by day, in time order.
+def write_event_table(
+    event_table: DataFrame, path: str, mode: str = "append", *, by_day: bool = True, by_service: bool = False
+) -> None:
+    """Store records by type, and by day, in time order; ``by_service`` puts a folder of each service above.
 
     Range partitioning on the type and the time gives every file a short span of time, which
     Parquet statistics can skip, and splits a day that holds much of the data over many tasks.
@@ -112,9 +134,12 @@ def write_event_table(event_table: DataFrame, path: str, mode: str = "append", *
     """
     rows = event_table.withColumn("event_date", F.to_date("timestamp")) if by_day else event_table
     folders = ["record_type", "event_date"] if by_day else ["record_type"]
+    if by_service:
+        rows, folders = rows.withColumn("service", text("resource_attributes", SERVICE_KEY)), ["service", *folders]
+    first = [name for name in folders if name != "event_date"]
     (
-        rows.repartitionByRange("record_type", "timestamp", "event_id")
-        .sortWithinPartitions("record_type", "timestamp")
+        rows.repartitionByRange(*first, "timestamp", "event_id")
+        .sortWithinPartitions(*first, "timestamp")
         .write.mode(mode)
         .partitionBy(*folders)
         .parquet(path)

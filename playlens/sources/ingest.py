@@ -1,7 +1,7 @@
 """From collector requests to event-table records.
 
-A request is ``/telemetry?d=<url-encoded JSON object>&_t=<ms>`` plus an identity header. Parsing is
-a chain of projections: no shuffle, and the same code runs on a table or on a stream.
+A request is ``/telemetry?d=<url-encoded JSON object>&_t=<ms>`` plus an identity header, or a POST to ``/telemetry`` with the
+object as its body. Parsing is a chain of projections: no shuffle, and the same code runs on a table or on a stream.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from playlens.vocabulary import DEFAULT_PREFIX, DEFAULT_SERVICE, KNOWN_EVENTS, U
 # --- fixed values -----------------------------------------------------------
 # First non-empty ``d`` in the query of a request whose path starts with /telemetry.
 PAYLOAD_PATTERN = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?/telemetry[^?#]*\?(?:[^#]*?&)?d=([^&#]+)"
+# A path that starts with /telemetry.
+TELEMETRY_PATTERN = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?/telemetry"
 # ----------------------------------------------------------------------------
 
 
@@ -56,10 +58,26 @@ def parse_objects(rows: DataFrame, payload: str = "payload") -> DataFrame:
     return parsed.select(*rows.columns, F.explode_outer(single).alias("members"))
 
 
+def payloads(requests: DataFrame) -> Column:
+    """The payloads of a request, decoded, in an array: one, or none if it is no telemetry request.
+
+    A table without the columns ``method`` and ``body`` holds GET requests only. The body of a POST is the payload as it is,
+    the empty text if it is missing; other methods carry none.
+    """
+    sent = F.transform(encoded_payloads(), F.try_url_decode)
+    if not {"method", "body"} <= set(requests.columns):
+        return sent
+    posted = F.when(F.col("request_uri").rlike(TELEMETRY_PATTERN), F.array(F.coalesce("body", F.lit(""))))
+    return F.when(F.coalesce("method", F.lit("GET")) == "GET", sent).when(F.col("method") == "POST", posted)
+
+
+def is_post(requests: DataFrame) -> Column:
+    return F.coalesce(F.col("method") == "POST", F.lit(False)) if "method" in requests.columns else F.lit(False)
+
+
 def telemetry_requests(requests: DataFrame) -> DataFrame:
     """Requests that carry a payload, with its text and its members."""
-    carrying = requests.select("*", F.explode(encoded_payloads()).alias("encoded"))
-    decoded = carrying.withColumn("payload", F.try_url_decode("encoded")).drop("encoded")
+    decoded = requests.select("*", F.explode(payloads(requests)).alias("payload"))
     return parse_objects(decoded)
 
 
@@ -75,10 +93,13 @@ def stringify_attributes(attributes: Column, player: Column) -> Column:
 
 
 def ingest_requests(requests: DataFrame, *, prefix: str = DEFAULT_PREFIX) -> tuple[DataFrame, DataFrame]:
-    """Parsed events, and the requests whose payload could not be parsed."""
+    """Parsed events, and the requests whose payload could not be parsed.
+
+    The player of a POST comes from the header alone; a name in its body does not count.
+    """
     parsed = telemetry_requests(requests)
     members = parsed.where(F.col("members").isNotNull()).withColumn("members", _last_wins("members"))
-    player = resolve_player("user_header", F.try_element_at("members", F.lit("player_name")))
+    player = resolve_player("user_header", F.when(~is_post(requests), F.try_element_at("members", F.lit("player_name"))))
     good = members.withColumn("player_name", player).select(
         "event_id",
         F.col("ts").alias("timestamp"),
@@ -100,3 +121,20 @@ def build_spans(requests: DataFrame, *, service: str = DEFAULT_SERVICE, prefix:
     """SPAN records of the event table for the well-formed requests."""
     good, _ = ingest_requests(requests, prefix=prefix)
     return span_records(good, service)
+
+
+def request_attributes(requests: DataFrame, *, prefix: str = DEFAULT_PREFIX) -> DataFrame:
+    """Parsed requests as the rows that instruments count: event name, time and labels."""
+    good, _ = ingest_requests(requests, prefix=prefix)
+    attribute = lambda name: F.try_element_at("attributes", F.lit(name))
+    return good.select(
+        "event_id",
+        "timestamp",
+        F.concat(F.lit(DEFAULT_PREFIX), F.substring("name", F.lit(len(prefix) + 1), F.char_length("name"))).alias("event_type"),
+        attribute("level").alias("level"),
+        attribute("difficulty").alias("difficulty"),
+        attribute("key").alias("key_name"),
+        attribute("type").alias("powerup_type"),
+        attribute("duration").try_cast("double").alias("duration"),
+        attribute("session_duration").try_cast("double").alias("session_duration"),
+    )

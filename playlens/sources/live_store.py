@@ -2,29 +2,41 @@
 
 from __future__ import annotations
 
-import time
-import uuid
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from playlens.operators import aggregates
+from playlens.session import materialise
+from playlens.sources.day_table import DAY, DayTable
+from playlens.sources.stored import Manifest
 
-VERSIONS = "written bigint, version string"
+#: Versions of a table that are kept. A reader has until the last of them is written over.
+KEPT = 8
+#: Ranges of a cluster column, as a power of two, whose bits are interleaved.
+BITS = 6
+SAMPLE = 4096
 
 
 @dataclass(frozen=True)
 class LiveTable:
-    """How a live table follows from the game events, and the columns it is clustered by."""
+    """How a live table follows from the game events, and the columns it is clustered by.
+
+    ``by_day``: stored in a folder per day of its ``timestamp``, interleaved inside a day.
+    """
 
     build: Callable[[DataFrame], DataFrame]
     cluster_by: tuple[str, ...]
+    by_day: bool = False
 
 
 LIVE_TABLES = {
-    "game_events": LiveTable(lambda events: events, ("player_name", "event_type", "timestamp")),
+    "game_events": LiveTable(lambda events: events, ("player_name", "event_type", "timestamp"), by_day=True),
     "event_timeline": LiveTable(aggregates.event_timeline, ("event_type", "minute")),
     "key_presses": LiveTable(aggregates.key_presses, ("player_name", "key_name")),
     "deaths_by_level": LiveTable(aggregates.deaths_by_level, ("player_name", "level")),
@@ -38,21 +50,77 @@ def cluster_layout(table: DataFrame, cluster_by: tuple[str, ...]) -> DataFrame:
     return table.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
 
 
-def write_live_table(table: DataFrame, path: str, cluster_by: tuple[str, ...]) -> None:
-    """Write a new version beside the old ones, then name it in the list of versions.
+def _ranked(table: DataFrame, name: str) -> Column:
+    """A cluster column as a value that the driver can sort like Spark."""
+    is_time = table.schema[name].dataType.typeName().startswith("timestamp")
+    return F.unix_micros(F.col(name).cast("timestamp")) if is_time else F.col(name)
+
 
-    Readers see the version that was newest when they opened the table, whole, however long they read. Old versions
-    may be removed once nobody reads them.
+def interleaved_layout(table: DataFrame, cluster_by: tuple[str, ...], first: tuple[str, ...] = (), bits: int = BITS) -> DataFrame:
+    """Rows clustered by all columns alike: a filter on any one of them skips files, not only one on the first.
+
+    Each column is cut into ranges of equally many rows, and the bits of a row's ranges are interleaved; rows are ranged by the
+    result, within each value of ``first``. The limits come from a sample of ``SAMPLE`` rows, as those of any range
+    partitioning do; they decide where rows lie, not what the table holds. The rows are stored first, so that their source is read once.
+    """
+    rows = materialise(table, "unclustered")
+    columns = {name: _ranked(table, name) for name in cluster_by}
+    sample = rows.select(*[column.alias(name) for name, column in columns.items()]).orderBy(F.rand()).limit(SAMPLE).collect()
+    places = []
+    for name, column in columns.items():
+        values = sorted(row[name] for row in sample if row[name] is not None)
+        limits = sorted({values[len(values) * i >> bits] for i in range(1, 1 << bits)}) if values else []
+        above = F.filter(F.array(*map(F.lit, limits)), lambda limit: limit <= column) if limits else F.array()
+        places.append(F.when(column.isNull(), 0).otherwise(F.size(above)).cast("bigint"))
+    mixed = [
+        F.shiftleft(F.shiftright(place, bit).bitwiseAND(F.lit(1)), bit * len(places) + number)
+        for bit in range(bits)
+        for number, place in enumerate(places)
+    ]
+    order = [*first, "cluster_mix", *cluster_by]
+    mixed_rows = rows.withColumn("cluster_mix", reduce(lambda a, b: a.bitwiseOR(b), mixed))
+    return mixed_rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*table.columns)
+
+
+def write_live_table(table: DataFrame, path: str, cluster_by: tuple[str, ...], *, by_day: bool = False) -> None:
+    """Write a new version beside the old ones, then name it in the manifest.
+
+    Readers see the version that was newest when they opened the table, whole, until ``KEPT`` more were written. Versions are
+    numbered one after the other; a table has one writer at a time.
     """
-    spark, version = table.sparkSession, uuid.uuid4().hex
-    cluster_layout(table, cluster_by).write.parquet(f"{path}/version={version}")
-    spark.createDataFrame([(time.time_ns(), version)], VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    spark = table.sparkSession
+    number = Manifest.read(spark, path).batch + 1
+    if by_day:
+        layout = interleaved_layout(table.withColumn(DAY, F.to_date("timestamp")), cluster_by, first=(DAY,))
+        writer = layout.write.partitionBy(DAY)
+    else:
+        layout = cluster_layout(table, cluster_by)
+        writer = layout.write
+    writer.mode("overwrite").parquet(_version(path, number))
+    Manifest.commit(spark, path, number, {}, layout.schema.json())
+
+
+def _version(path: str, number: int) -> str:
+    return f"{path}/version={number % KEPT}"
+
+
+def version_path(spark: SparkSession, folder: str, name: str) -> str:
+    """Where the newest version is."""
+    return _version(f"{folder}/{name}", Manifest.read(spark, f"{folder}/{name}").batch)
 
 
 def scan_live_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    versions = spark.read.schema(VERSIONS).parquet(f"{folder}/{name}/versions")
-    newest = versions.orderBy(F.desc("written")).first()
-    return spark.read.parquet(f"{folder}/{name}/version={newest.version}")
+    """The newest version."""
+    held = Manifest.read(spark, f"{folder}/{name}")
+    schema = StructType.fromJson(json.loads(held.note))
+    rows = spark.read.schema(schema).parquet(_version(f"{folder}/{name}", held.batch))
+    return rows.drop(DAY) if DAY in schema.names else rows
+
+
+def day_table(spark: SparkSession, folder: str, name: str = "game_events") -> DayTable:
+    """The newest version of a table that is stored by day."""
+    held = Manifest.read(spark, f"{folder}/{name}")
+    return DayTable(spark, _version(f"{folder}/{name}", held.batch), columns=held.note)
 
 
 def refresh_live_tables(game_events: DataFrame, folder: str, names=tuple(LIVE_TABLES)) -> dict[str, DataFrame]:
@@ -62,7 +130,8 @@ def refresh_live_tables(game_events: DataFrame, folder: str, names=tuple(LIVE_TA
     read the columns they need from that copy.
     """
     spark = game_events.sparkSession
-    write_live_table(game_events, f"{folder}/game_events", LIVE_TABLES["game_events"].cluster_by)
+    table = LIVE_TABLES["game_events"]
+    write_live_table(game_events, f"{folder}/game_events", table.cluster_by, by_day=table.by_day)
     stored = scan_live_table(spark, folder, "game_events")
     for name in names:
         if name != "game_events":

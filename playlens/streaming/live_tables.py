@@ -1,10 +1,10 @@
 """Live tables kept fresh from a stream.
 
 Every live aggregate can be merged from partial aggregates: counts and sums add up, minima and
-maxima combine. So each micro-batch is grouped on its own and its partial result is written under
-its batch number; a reader merges the partial results. Nothing is kept in a state store, a late
-event counts whenever it comes, and a batch that runs again after a failure overwrites its own
-folder. ``compact`` replaces many partial results by one.
+maxima combine. So each micro-batch is grouped on its own and merged into the stored table, of which
+only the buckets that hold its keys are rewritten. Nothing is kept in a state store, a late
+event counts whenever it comes, a batch that runs again after a failure changes nothing, and what a
+reader reads does not grow with the number of batches.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,28 +20,33 @@ from playlens.functions.predicates import not_event
 from playlens.functions.timefns import boundary_diff
 from playlens.operators import aggregates
 from playlens.operators.aggregates import session_duration_histogram
+from playlens.operators.projections import game_events
+from playlens.sources.stored import KeyedTable, Log
+from playlens.vocabulary import DEFAULT_PREFIX, DEFAULT_SERVICE
 
+NAMES = ("event_timeline", "key_presses", "deaths_by_level", "powerups", "player_sessions")
 EVERY_MINUTE = {"processingTime": "1 minute"}
 
 
 @dataclass(frozen=True)
 class RunningTable:
-    """A grouped table and how partial results of each column combine."""
+    """A grouped table, how partial results of each column combine, and the expressions that choose a row's bucket."""
 
     build: Callable[[DataFrame], DataFrame]
     keys: tuple[str, ...]
+    spread: tuple[str, ...] = ()
     sums: tuple[str, ...] = ()
     lows: tuple[str, ...] = ()
     highs: tuple[str, ...] = ()
-    finish: Callable[[DataFrame], DataFrame] = lambda merged: merged
-
-    def merge(self, partials: DataFrame) -> DataFrame:
-        combined = partials.groupBy(*self.keys).agg(
-            *[F.sum(name).alias(name) for name in self.sums],
-            *[F.min(name).alias(name) for name in self.lows],
-            *[F.max(name).alias(name) for name in self.highs],
+    finish: Callable[[DataFrame], DataFrame] = lambda stored: stored
+
+    def merges(self) -> dict[str, Column]:
+        """How rows of one key become one row."""
+        return (
+            {name: F.sum(name) for name in self.sums}
+            | {name: F.min(name) for name in self.lows}
+            | {name: F.max(name) for name in self.highs}
         )
-        return self.finish(combined)
 
 
 def _with_duration(sessions: DataFrame) -> DataFrame:
@@ -49,7 +54,13 @@ def _with_duration(sessions: DataFrame) -> DataFrame:
 
 
 RUNNING_TABLES = {
-    "event_timeline": RunningTable(aggregates.event_timeline, ("minute", "event_type"), sums=("event_count",)),
+    # The minutes of a batch lie in a few hours, so it touches a few buckets.
+    "event_timeline": RunningTable(
+        aggregates.event_timeline,
+        ("minute", "event_type"),
+        spread=("date_trunc('HOUR', minute)",),
+        sums=("event_count",),
+    ),
     "key_presses": RunningTable(aggregates.key_presses, ("player_name", "key_name"), sums=("presses",)),
     "deaths_by_level": RunningTable(aggregates.deaths_by_level, ("player_name", "level"), sums=("deaths",)),
     "powerups": RunningTable(aggregates.powerups, ("player_name", "powerup_type", "level"), sums=("count",)),
@@ -72,16 +83,18 @@ RUNNING_TABLES = {
 }
 
 
-def _append(batch: DataFrame, batch_id: int, table: RunningTable, path: str) -> None:
-    table.build(batch).write.mode("overwrite").parquet(f"{path}/delta/batch={batch_id}")
+def stored_table(path: str, table: RunningTable) -> KeyedTable:
+    """Where a running table is kept."""
+    return KeyedTable(path, table.keys, table.spread)
 
 
 def stream_table(
     source: DataFrame, table: RunningTable, *, path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
     """Keep one live aggregate fresh."""
+    stored = stored_table(path, table)
     return (
-        source.writeStream.foreachBatch(lambda batch, batch_id: _append(batch, batch_id, table, path))
+        source.writeStream.foreachBatch(lambda batch, number: stored.upsert(table.build(batch), number, table.merges()))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or EVERY_MINUTE))
         .start()
@@ -103,70 +116,72 @@ def stream_game_events(
 
 
 def stream_live_tables(
-    game_events: DataFrame,
+    source: DataFrame,
     *,
     folder: str,
     checkpoint: str,
-    names: tuple[str, ...] = ("event_timeline", "key_presses", "deaths_by_level", "powerups", "player_sessions"),
+    names: tuple[str, ...] = NAMES,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """All six live tables from one pass over the stream.
 
-    A micro-batch is projected once, into its folder of ``game_events``; the aggregates read the
-    columns they need from there.
+    A micro-batch is projected once, into the log of ``game_events``; the aggregates read the columns they need from there.
+    Each table is committed on its own, the log first: a batch that fails between two of them goes on with the next.
     """
+    log = Log(f"{folder}/game_events")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        stored = f"{folder}/game_events/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(stored)
-        events = batch.sparkSession.read.schema(batch.schema).parquet(stored)
+    def write(batch: DataFrame, number: int) -> None:
+        log.append(batch, number)
+        events = log.read_batch(batch.sparkSession, number)
         for name in names:
-            _append(events, batch_id, RUNNING_TABLES[name], f"{folder}/{name}")
+            table = RUNNING_TABLES[name]
+            stored_table(f"{folder}/{name}", table).upsert(table.build(events), number, table.merges())
 
     return (
-        game_events.writeStream.foreachBatch(write)
+        source.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or EVERY_MINUTE))
         .start()
     )
 
 
-def _latest_base(spark: SparkSession, path: str) -> int | None:
-    """Batch number up to which a finished compaction exists."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/base/upto=*/_SUCCESS")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    numbers = [int(status.getPath().getParent().getName().split("=")[1]) for status in found or []]
-    return max(numbers, default=None)
-
+def refresh_new_files(
+    spark: SparkSession,
+    records: str,
+    folder: str,
+    *,
+    service: str | None = DEFAULT_SERVICE,
+    prefix: str = DEFAULT_PREFIX,
+    names: tuple[str, ...] = NAMES,
+) -> StreamingQuery:
+    """Bring the live tables in ``folder`` up to date with the files that came to the event table since the last call.
 
-def _partials(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
-    deltas = spark.read.parquet(f"{path}/delta")
-    if upto is not None:
-        deltas = deltas.where(F.col("batch") <= upto)
-    base = _latest_base(spark, path)
-    if base is None:
-        return deltas.drop("batch")
-    compacted = spark.read.parquet(f"{path}/base/upto={base}")
-    return deltas.where(F.col("batch") > base).drop("batch").unionByName(compacted)
+    The event table is read as a stream that ends with its present files; the checkpoint in ``folder`` knows which were read.
+    What they hold is merged into the tables, so a refresh costs what is new, not what there is.
+    """
+    table = spark.readStream.schema(spark.read.parquet(records).schema).parquet(records)
+    events = game_events(table, service=service, prefix=prefix)
+    query = stream_live_tables(
+        events, folder=folder, checkpoint=f"{folder}/checkpoint", names=names, trigger={"availableNow": True}
+    )
+    query.awaitTermination()
+    return query
 
 
 def read_live(spark: SparkSession, path: str, table: RunningTable) -> DataFrame:
-    """The current content of a streamed table."""
-    return table.merge(_partials(spark, path))
+    """The content of a streamed table as of its last committed batch."""
+    return table.finish(stored_table(path, table).read(spark))
 
 
-def compact(spark: SparkSession, path: str, table: RunningTable, upto: int) -> None:
-    """Merge the last compaction and the partial results up to batch ``upto`` into one.
-
-    Readers use it once it is complete. Run it again with the same number after a failure.
-    """
-    table.merge(_partials(spark, path, upto)).write.mode("overwrite").parquet(f"{path}/base/upto={upto}")
+def read_live_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The events of ``stream_live_tables`` up to its last committed batch."""
+    return Log(f"{folder}/game_events").read(spark)
 
 
-def closed_minutes(game_events: DataFrame, *, watermark: str = "10 minutes") -> DataFrame:
+def closed_minutes(source: DataFrame, *, watermark: str = "10 minutes") -> DataFrame:
     """The event timeline as an append-only stream: a minute appears once when it can no longer
     change, that is when the watermark has passed it."""
-    timed = game_events.where(not_event("key_press")).withColumn(
+    timed = source.where(not_event("key_press")).withColumn(
         "timestamp", F.col("timestamp").cast("timestamp")
     )
     return (

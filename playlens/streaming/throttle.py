@@ -1,53 +1,61 @@
-"""The key-repeat throttle on a stream, with the time of the last kept event as state."""
+"""The key-repeat throttle on a stream.
+
+A micro-batch runs the batch operator, which cuts the time of a key into slices: a key that holds much of the batch is spread
+over many tasks, and only the short reduced form of its slices passes through one of them. The chain goes on from the time
+that each key was last kept, which lies in a keyed table of which a batch reads and rewrites the buckets of its keys. So no
+watermark drops a row: an event counts as late only if one of its key was kept after it, as for the batch operator's chain.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from playlens.functions.predicates import is_event
-from playlens.operators.throttle import KEYS, NEVER, chain
+from playlens.operators.throttle import HOUR_MS, KEYS, key_throttle
+from playlens.streaming.live_tables import EVERY_MINUTE
+from playlens.sources.stored import KeyedTable, Log
 from playlens.vocabulary import KEY_REPEAT_MS
 
-OUTPUT = "event_id long, player_name string, key_name string, at_ms long"
-
-
-def throttled_keys(
-    spans: DataFrame, *, gap_ms: int = KEY_REPEAT_MS, watermark: str = "10 minutes"
-) -> DataFrame:
-    """Key presses of a stream that survive the throttle.
-
-    Within a micro-batch the events of a key are taken in time order. An event older than the last
-    kept one is dropped. State is forgotten once the watermark has passed the gap.
-    """
-
-    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else NEVER
-        rows = pd.concat(batches).sort_values(["at_ms", "event_id"])
-        times = rows["at_ms"].to_numpy()
-        first = int(np.searchsorted(times, last + gap_ms, side="right"))
-        kept = rows.iloc[chain(times, first, gap_ms)]
-        if len(kept):
-            last = int(kept["at_ms"].iloc[-1])
-        if last != NEVER:
-            state.update((last,))
-            state.setTimeoutTimestamp(max(last + gap_ms, state.getCurrentWatermarkMs()) + 1)
-        yield kept[["event_id", *KEYS, "at_ms"]]
-
-    timed = (
-        spans.where(is_event("key_press"))
-        .withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-        .withWatermark("timestamp", watermark)
-        .select("event_id", "timestamp", *KEYS, F.unix_millis("timestamp").alias("at_ms"))
-    )
-    return timed.groupBy(*KEYS).applyInPandasWithState(
-        keep, OUTPUT, "last_ms long", "append", GroupStateTimeout.EventTimeTimeout
-    )
+
+@dataclass(frozen=True)
+class ThrottledKeys:
+    """The kept events of a stream in ``folder``, and the last one of each key."""
+
+    folder: str
+    gap_ms: int = KEY_REPEAT_MS
+    slice_ms: int = HOUR_MS
+
+    @property
+    def _kept(self) -> Log:
+        return Log(f"{self.folder}/kept")
+
+    @property
+    def _last(self) -> KeyedTable:
+        return KeyedTable(f"{self.folder}/last", KEYS)
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        """One micro-batch. Kept events are committed first, then the state they lead to."""
+        spark, batch = batch.sparkSession, batch.where(is_event("key_press")).persist()
+        # The table still has the state before this batch until that is committed, however often the batch runs.
+        before = self._last.read_for(batch)
+        self._kept.append(key_throttle(batch, gap_ms=self.gap_ms, slice_ms=self.slice_ms, kept_before=before), number)
+        kept = self._kept.read_batch(spark, number)
+        times = kept.groupBy(*KEYS).agg(F.max(F.unix_millis(F.col("timestamp").cast("timestamp"))).alias("last_ms"))
+        self._last.upsert(times, number, {"last_ms": F.max("last_ms")})
+        batch.unpersist()
+
+    def stream(self, spans: DataFrame, *, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+        """Keep the table fresh from a stream of spans."""
+        return (
+            spans.writeStream.foreachBatch(self.write)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or EVERY_MINUTE))
+            .start()
+        )
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return self._kept.read(spark)

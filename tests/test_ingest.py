@@ -105,3 +105,32 @@ def test_spans_read_back_through_the_event_table(spark):
     row = projections.spans(table).first()
     assert (row["event_type"], row["level"], row["coins"], row["lives"]) == ("game.death", "1-2", 7, None)
     assert table.select(F.col("record_type")).first()[0] == "SPAN"
+
+
+def posted(spark, *rows):
+    """Rows of (method, header, uri, body)."""
+    data = [(i, None, header, uri, method, body) for i, (method, header, uri, body) in enumerate(rows, start=1)]
+    good, bad = ingest.ingest_requests(spark.createDataFrame(data, COLUMNS + ", method string, body string"))
+    return {row["event_id"]: row for row in good.collect()}, sorted(row["event_id"] for row in bad.collect())
+
+
+def test_posts_carry_their_body_as_it_is(spark):
+    body = '{"event":"death","level":"100%25","player_name":"web"}'
+    good, bad = posted(spark, ("POST", "", "/telemetry", body), ("POST", None, "http://host/telemetry/x?d=%7B", body))
+    assert {row["name"] for row in good.values()} == {"game.death"} and len(good) == 2 and bad == []
+    assert good[1]["attributes"]["level"] == "100%25"
+
+
+def test_player_of_a_post_comes_from_the_header_alone(spark):
+    body = '{"event":"coin","player_name":"web"}'
+    rows = [("POST", " head ", "/telemetry", body), ("POST", "", "/telemetry", body), ("GET", "", uri(body), None), (None, "", uri(body), body)]
+    good, _ = posted(spark, *rows)
+    assert [good[i]["player_name"] for i in (1, 2, 3, 4)] == ["head", "unknown", "web", "web"]
+    assert good[2]["attributes"]["player_name"] == "unknown"
+
+
+def test_posts_that_are_no_object_or_go_elsewhere(spark):
+    body = '{"event":"coin"}'
+    rows = [("POST", "", "/telemetry", text) for text in ("", None, "[1]", "{bad")]
+    rows += [("POST", "", "/whoami", body), ("OPTIONS", "", "/telemetry", body), ("PUT", "", uri(body), body), ("post", "", "/telemetry", body)]
+    assert posted(spark, *rows) == ({}, [1, 2, 3, 4])

@@ -158,6 +158,35 @@ def test_equals_brute_force(spark, seed, partitions):
     assert got == want
 
 
+@pytest.mark.parametrize(("seed", "partitions"), [(0, 1), (1, 7), (2, 30)])
+def test_timelines_of_players_equal_brute_force(spark, seed, partitions):
+    """One player holds half the rows; some events have no player."""
+    rng = random.Random(seed)
+    rows = [
+        {
+            "t": rng.randrange(60),
+            "id": number,
+            "event": rng.choice(["game_start", "game_over", "death", "level_start"]),
+            "level": rng.choice([None, "1-1", "2-1", "10-1"]),
+            "coins": rng.randrange(50),
+            "player_name": rng.choices(["hot", None, "b", "c"], [6, 2, 2, 1])[0],
+        }
+        for number in range(1, 241)
+    ]
+    spans = spans_frame(spark, [{**row, "event_id": row["id"]} for row in rows])
+    as_of = rng.choice([60, 40])
+    report = sessions.game_sessions(spans, as_of=at(as_of), partition_by_player=True, partitions=partitions).collect()
+    got = {
+        (r["player_name"], r["session_id"]): (r["session_end"], r["score_coins"], r["total_deaths"], r["levels_played"], r["highest_level"])
+        for r in report
+    }
+    want = {}
+    for player in {row["player_name"] for row in rows}:
+        own = plain([row for row in rows if row["player_name"] == player], as_of)
+        want |= {(player, number): (None if end is None else at(end), *rest) for number, (end, *rest) in own.items()}
+    assert got == want and len(got) == len(report)
+
+
 def test_plan_has_no_pairwise_join(spark, sf_dir):
     from playlens.sources.bindings import Telemetry
 

@@ -13,8 +13,9 @@ from playlens.operators.throttle import key_throttle
 from playlens.session import new_path
 from playlens.sources.live_store import LIVE_TABLES
 from playlens.streaming import live_tables
-from playlens.streaming.live_tables import RUNNING_TABLES, closed_minutes, compact, read_live, stream_live_tables, stream_table
-from playlens.streaming.throttle import throttled_keys
+from playlens.streaming.live_tables import RUNNING_TABLES, closed_minutes, read_live, stream_live_tables, stream_table
+from playlens.sources.stored import Manifest
+from playlens.streaming.throttle import ThrottledKeys
 
 ONCE = {"availableNow": True}
 FILES = 4
@@ -60,37 +61,15 @@ def test_stream_equals_batch(spark, source, name):
     frame, stream = source
     path, table = new_path(spark, name), RUNNING_TABLES[name]
     stream_table(stream(), table, path=path, checkpoint=new_path(spark, "cp"), trigger=ONCE).awaitTermination()
-    batches = spark.read.parquet(f"{path}/delta").select("batch").distinct().count()
-    assert batches == FILES
+    assert Manifest.read(spark, path).batch == FILES - 1
     same(read_live(spark, path, table), LIVE_TABLES[name].build(frame))
-    compact(spark, path, table, upto=1)
-    same(read_live(spark, path, table), LIVE_TABLES[name].build(frame))
-    compact(spark, path, table, upto=3)
-    same(read_live(spark, path, table), LIVE_TABLES[name].build(frame))
-
-
-def test_a_repeated_batch_does_not_count_twice(spark, source):
-    frame, _ = source
-    path, table = new_path(spark, "replay"), RUNNING_TABLES["deaths_by_level"]
-    for batch in (0, 1, 1, 0):
-        live_tables._append(frame.where(F.col("event_id") % 2 == batch), batch, table, path)
-    same(read_live(spark, path, table), aggregates.deaths_by_level(frame))
-
-
-def test_an_unfinished_compaction_is_ignored(spark, source):
-    frame, _ = source
-    path, table = new_path(spark, "unfinished"), RUNNING_TABLES["deaths_by_level"]
-    live_tables._append(frame, 0, table, path)
-    option = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
-    aggregates.deaths_by_level(frame.limit(5)).write.option(option, "false").parquet(f"{path}/base/upto=0")
-    same(read_live(spark, path, table), aggregates.deaths_by_level(frame))
 
 
 def test_one_stream_feeds_all_tables(spark, source):
     frame, stream = source
     folder = new_path(spark, "all_live")
     stream_live_tables(stream(), folder=folder, checkpoint=new_path(spark, "cp"), trigger=ONCE).awaitTermination()
-    same(spark.read.parquet(f"{folder}/game_events").drop("batch"), frame)
+    same(live_tables.read_live_events(spark, folder), frame)
     for name, table in LIVE_TABLES.items():
         if name != "game_events":
             same(read_live(spark, f"{folder}/{name}", RUNNING_TABLES[name]), table.build(frame))
@@ -115,40 +94,74 @@ def test_closed_minutes_appear_once_and_complete(spark):
     same(got, closed)
 
 
-def test_throttle_in_one_batch_equals_the_batch_operator(spark):
-    rng = random.Random(5)
-    rows = [
-        {"t": rng.randrange(60000) / 1000, "event": "key_press", "player_name": rng.choice("ab"), "key_name": "left"}
-        for _ in range(300)
+def key_rows(times, player="a", first_id=0):
+    return [
+        {"t": t, "event": "key_press", "player_name": player, "key_name": "left", "event_id": first_id + i}
+        for i, t in enumerate(times)
     ]
-    frame = spans_frame(spark, rows)
-    folder = new_path(spark, "keys")
-    frame.coalesce(1).write.parquet(folder)
-    path = new_path(spark, "kept")
-    live_tables.stream_game_events(
-        throttled_keys(spark.readStream.schema(frame.schema).parquet(folder)),
-        path=path,
-        checkpoint=new_path(spark, "cp"),
-        trigger=ONCE,
-    ).awaitTermination()
-    assert sorted(r["event_id"] for r in spark.read.parquet(path).collect()) == sorted(
-        r["event_id"] for r in key_throttle(frame).collect()
-    )
 
 
-def test_throttle_remembers_across_batches(spark):
-    folder, path = new_path(spark, "keys"), new_path(spark, "kept")
-    schema = None
-    for number, times in enumerate(([0, 0.3], [0.5, 0.501], [0.9, 1.002])):
-        rows = [
-            {"t": t, "event": "key_press", "player_name": "a", "key_name": "left", "event_id": 10 * number + i}
-            for i, t in enumerate(times)
-        ]
+def throttled(spark, batches, **options):
+    """Ids kept of a stream that gets one list of rows after the other."""
+    folder, schema = new_path(spark, "keys"), None
+    for rows in batches:
         frame = spans_frame(spark, rows)
         schema = frame.schema
         frame.coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    live_tables.stream_game_events(
-        throttled_keys(stream), path=path, checkpoint=new_path(spark, "cp"), trigger=ONCE
-    ).awaitTermination()
-    assert sorted(r["event_id"] for r in spark.read.parquet(path).collect()) == [0, 11, 21]
+    kept = ThrottledKeys(new_path(spark, "kept"), **options)
+    kept.stream(stream, checkpoint=new_path(spark, "cp"), trigger=ONCE).awaitTermination()
+    return sorted(row["event_id"] for row in kept.read(spark).collect())
+
+
+@pytest.mark.parametrize("gap_ms, slice_ms", [(500, 3_600_000), (500, 2000), (6 * 3_600_000, 24 * 3_600_000)])
+def test_throttled_stream_equals_the_batch_operator(spark, gap_ms, slice_ms):
+    rng = random.Random(5)
+    scale = gap_ms / 500
+    rows = [
+        {
+            "t": scale * rng.randrange(60000) / 1000,
+            "event": "key_press",
+            "player_name": rng.choices(["hot", "b", None], [6, 2, 1])[0],
+            "key_name": rng.choice(["left", None]),
+            "event_id": i,
+        }
+        for i in range(300)
+    ]
+    rows.sort(key=lambda row: row["t"])
+    batches = [rows[start : start + 75] for start in range(0, 300, 75)]
+    batch = key_throttle(spans_frame(spark, rows), gap_ms=gap_ms, slice_ms=slice_ms)
+    assert throttled(spark, batches, gap_ms=gap_ms, slice_ms=slice_ms) == sorted(r["event_id"] for r in batch.collect())
+
+
+def test_throttle_remembers_across_batches(spark):
+    assert throttled(spark, [key_rows([0, 0.3], first_id=0), key_rows([0.5, 0.501], first_id=10), key_rows([0.9, 1.002], first_id=20)]) == [0, 11, 21]
+
+
+def test_throttle_drops_events_older_than_the_last_kept(spark):
+    late = [key_rows([10], first_id=0), key_rows([3, 10.4], first_id=10), key_rows([10.6], first_id=20), key_rows([9], "b", 30)]
+    assert throttled(spark, late) == [0, 20, 30]
+
+
+def test_throttle_runs_a_batch_again(spark):
+    kept = ThrottledKeys(new_path(spark, "again"))
+    first, second = spans_frame(spark, key_rows([0, 0.3])), spans_frame(spark, key_rows([0.4, 0.6], first_id=10))
+    kept.write(first, 0)
+    # The batch failed after its rows were committed and before its state was.
+    kept._kept.append(key_throttle(second, kept_before=kept._last.read(spark)), 1)
+    for _ in range(2):
+        kept.write(second, 1)
+    assert sorted(row["event_id"] for row in kept.read(spark).collect()) == [0, 11]
+    kept.write(spans_frame(spark, key_rows([1.0, 1.2], first_id=20)), 2)
+    assert sorted(row["event_id"] for row in kept.read(spark).collect()) == [0, 11, 21]
+
+
+def test_hot_key_is_spread_over_tasks(spark):
+    """One key holds every event; its slices go to several tasks, and no task sees them all."""
+    frame = spans_frame(spark, key_rows([i / 2 for i in range(4000)]))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = key_throttle(frame, gap_ms=100, slice_ms=60_000).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 4 and max(row["count"] for row in sizes) < 2000
