@@ -147,7 +147,7 @@ def cleaned(docs: DataFrame, *, host: str = "source", limit: int = LINE_LIMIT, l
     given = store(docs.withColumn(ROW, F.monotonically_increasing_id()), "given")
     verdicts = _verdicts(measured(given, host, F.col(ROW)), limit, least_left).where("kept")
     left = given.join(verdicts.select(F.col("row").alias(ROW), F.col("gone").alias(GONE)), ROW).select(*docs.columns, GONE)
-    result = to_arrow_schema(docs.schema)
+    result, names = to_arrow_schema(docs.schema), docs.columns
 
     def make(batch: pa.RecordBatch) -> dict:
         texts = []
@@ -156,6 +156,6 @@ def cleaned(docs: DataFrame, *, host: str = "source", limit: int = LINE_LIMIT, l
                 keys = set(gone)
                 text = "\n".join(line for line in text.split("\n") if _key(line.encode().translate(_NORMAL).split()) not in keys)
             texts.append(text)
-        return {name: batch.column(name) for name in docs.columns} | {"text": texts}
+        return {name: batch.column(name) for name in names} | {"text": texts}
 
     return left.mapInArrow(arrow_rows(result, make), docs.schema)
