@@ -80,21 +80,26 @@ def minute_scores(events: DataFrame, limit: int = 20) -> DataFrame:
     return ranked.groupBy("minute").agg(F.collect_list(F.struct(*[name for name in games.columns if name != "minute"])).alias("best"))
 
 
+def floor(time: datetime) -> datetime:
+    return time.replace(second=0, microsecond=0)
+
+
 def whole_minutes(start: datetime, end: datetime) -> tuple[datetime, datetime]:
     """The first and the end of the whole minutes from ``start`` to before ``end``."""
-    first = start.replace(second=0, microsecond=0)
-    first = first if first == start else first + MINUTE
-    last = end.replace(second=0, microsecond=0)
-    return first, max(first, last)
+    first = floor(start) if floor(start) == start else floor(start) + MINUTE
+    return first, max(first, floor(end))
 
 
 @dataclass(frozen=True)
 class MinuteTables:
-    """Answers for ranges from ``start`` to before ``end``. ``events(start, end)`` gives the events of a part of a minute."""
+    """Answers for ranges from ``start`` to before ``end``. Tables are opened when they are asked for.
+
+    ``ids(column)`` gives the numbers and the bitmaps of minutes, ``events(start, end)`` the events of a part of a minute.
+    """
 
-    activity: DataFrame
-    ids: dict[str, tuple[DataFrame, DataFrame]]  # by column: the numbers, and the bitmaps of minutes
-    scores: DataFrame
+    activity: Callable[[], DataFrame]
+    ids: Callable[[str], tuple[DataFrame, DataFrame]]
+    scores: Callable[[], DataFrame]
     events: Callable[[datetime, datetime], DataFrame]
 
     def _inside(self, table: DataFrame, start: datetime, end: datetime) -> DataFrame:
@@ -112,7 +117,7 @@ class MinuteTables:
         return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0] if parts else None
 
     def _numbers_seen(self, column: str, start: datetime, end: datetime) -> DataFrame:
-        numbers, bitmaps = self.ids[column]
+        numbers, bitmaps = self.ids(column)
         rows, edges = self._inside(bitmaps, start, end).select("bucket", "bitmap"), self._edges(start, end)
         if edges is not None:
             rows = rows.unionByName(_bitmaps(edges, numbers, column))
@@ -131,11 +136,11 @@ class MinuteTables:
         bits = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit")).where(F.expr("getbit(byte, bit) = 1"))
         # A bucket holds 32768 numbers, the first of them from 1 on.
         number = (F.col("bucket") - 1) * 32768 + F.col("at") * 8 + F.col("bit") + 1
-        return bits.select(number.alias("number")).join(self.ids[column][0], "number").select(F.col("id").alias(column))
+        return bits.select(number.alias("number")).join(self.ids(column)[0], "number").select(F.col("id").alias(column))
 
     def summary(self, start: datetime, end: datetime) -> DataFrame:
         """One row: events, sessions and event types."""
-        minutes, edges = self._inside(self.activity, start, end).select("events", "event_types"), self._edges(start, end)
+        minutes, edges = self._inside(self.activity(), start, end).select("events", "event_types"), self._edges(start, end)
         if edges is not None:
             minutes = minutes.unionByName(edges.agg(F.count("*").alias("events"), F.collect_set("event_type").alias("event_types")))
         types = minutes.select(F.explode("event_types").alias("event_type")).agg(F.count_distinct("event_type"))
@@ -147,7 +152,7 @@ class MinuteTables:
 
     def best_games(self, limit: int, start: datetime, end: datetime) -> DataFrame:
         """The best games of a range, best first; at most as many as the minutes keep."""
-        games = self._inside(self.scores, start, end).select(F.inline("best"))
+        games = self._inside(self.scores(), start, end).select(F.inline("best"))
         edges = self._edges(start, end)
         if edges is not None:
             games = games.unionByName(finished_games(edges))

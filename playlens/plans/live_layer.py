@@ -7,7 +7,8 @@ the minutes. Times that a plan needs, such as "now", are looked up first and sta
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,23 +35,28 @@ TIMES = {
 }
 
 
-@dataclass(frozen=True)
+@dataclass
 class LiveLayer:
+    """The layer as it is when a table is first read; ``reopen`` shows what was written since."""
+
     spark: SparkSession
     folder: str
     service: str = DEFAULT_SERVICE
     limit: int = 20  # games that each minute keeps
+    _opened: dict = field(default_factory=dict, repr=False)
 
     # --- building
 
     def append_records(self, event_table: DataFrame) -> None:
         """Add records of the event table."""
         records.write_event_table(event_table, f"{self.folder}/records", by_service=True)
+        self.reopen()
 
     def refresh(self, prefix: str = DEFAULT_PREFIX) -> None:
         """Rebuild the live tables and the tables by minute from the stored records."""
         spans = self.records("SPAN").rows()
         refresh_live_tables(projections.game_events(spans, service=None, prefix=prefix), self.folder)
+        self.reopen()
         events = self.table("game_events")
         write_live_table(minutes.minute_activity(events), f"{self.folder}/minute_activity", ("minute",))
         write_live_table(minutes.minute_scores(events, self.limit), f"{self.folder}/minute_scores", ("minute",))
@@ -61,29 +67,43 @@ class LiveLayer:
 
     # --- reading
 
+    def _once(self, name: tuple, make: Callable):
+        if name not in self._opened:
+            self._opened[name] = make()
+        return self._opened[name]
+
+    def reopen(self) -> None:
+        """Read the newest versions from now on."""
+        self._opened.clear()
+
     def records(self, *record_type: str) -> DayTable:
         """The stored records of the service, of one type if it is given."""
         fixed = (("service", self.service), *(("record_type", name) for name in record_type))
-        return DayTable(self.spark, f"{self.folder}/records", fixed)
+        return self._once(("records", *record_type), lambda: DayTable(self.spark, f"{self.folder}/records", fixed))
 
     def table(self, name: str) -> DataFrame:
-        return scan_live_table(self.spark, self.folder, name)
+        return self._once((name,), lambda: scan_live_table(self.spark, self.folder, name))
 
     @property
     def events(self) -> DayTable:
-        return day_table(self.spark, self.folder)
+        return self._once(("events", "days"), lambda: day_table(self.spark, self.folder))
 
     def by_minute(self) -> minutes.MinuteTables:
-        ids = {name: (self.table(f"numbers_{name}"), self.table(f"minute_{name}")) for name in COUNTED_IDS}
-        return minutes.MinuteTables(self.table("minute_activity"), ids, self.table("minute_scores"), self.events.between)
-
-    def _range(self, as_of: datetime | None, hours: int | None, *, strict: bool = False) -> tuple[datetime, datetime] | None:
-        """The last ``hours`` before ``as_of`` as a range from its start to before its end; None if there is no event."""
-        now = as_of or self.events.latest_time()
-        if now is None:
-            return None
-        start = self.events.first_time() if hours is None else now - timedelta(hours=hours) + TICK * strict
-        return start, now + TICK
+        ids = lambda name: (self.table(f"numbers_{name}"), self.table(f"minute_{name}"))
+        return minutes.MinuteTables(lambda: self.table("minute_activity"), ids, lambda: self.table("minute_scores"), self.events.between)
+
+    def _range(self, as_of: datetime | None, hours: int | None, *, strict: bool = False) -> tuple[datetime, datetime]:
+        """The last ``hours`` before ``as_of`` as a range from its start to before its end; an empty one if there is no event.
+
+        Nothing is newer than the newest event or older than the oldest, so these ends are moved to whole minutes.
+        """
+        latest = self.events.latest_time
+        if latest is None:
+            return datetime.min, datetime.min
+        end = as_of + TICK if as_of else minutes.floor(latest) + minutes.MINUTE
+        if hours is None:
+            return minutes.floor(self.events.first_time), end
+        return (as_of or latest) - timedelta(hours=hours) + TICK * strict, end
 
     # --- answers
 
@@ -100,19 +120,17 @@ class LiveLayer:
         self, *, as_of: datetime | None = None, hours: int | None = 24, zone: str = DEFAULT_ZONE, as_text: bool = False
     ) -> DataFrame:
         """The best games of known players, from the best of each minute."""
-        span = self._range(as_of, hours) or (datetime.min, datetime.min)
-        best = self.by_minute().best_games(self.limit, *span)
+        best = self.by_minute().best_games(self.limit, *self._range(as_of, hours))
         shown = local_text("timestamp", zone) if as_text else local_time("timestamp", zone)
         return leaderboard.numbered(best.withColumn("game_time", shown))
 
     def activity_summary(self, *, as_of: datetime | None = None, hours: int | None = None) -> DataFrame:
         """Events, sessions and event types of the last ``hours``, or of all time."""
-        return self.by_minute().summary(*(self._range(as_of, hours) or (datetime.min, datetime.min)))
+        return self.by_minute().summary(*self._range(as_of, hours))
 
     def unique_players(self, *, as_of: datetime | None = None, hours: int | None = 1) -> DataFrame:
         """Known players of the last ``hours``."""
-        span = self._range(as_of, hours, strict=True) or (datetime.min, datetime.min)
-        return self.by_minute().distinct_ids("player_name", *span).where(known_player())
+        return self.by_minute().distinct_ids("player_name", *self._range(as_of, hours, strict=True)).where(known_player())
 
     def record_type_counts(self) -> DataFrame:
         """Records of the service by type, from the footers."""
@@ -129,10 +147,11 @@ class LiveLayer:
 
     def freshness(self) -> DataFrame:
         """The newest live event and its age at the newest record of any service."""
-        return self._aged(DayTable(self.spark, f"{self.folder}/records").latest_time())
+        records = self._once(("records", "of all services"), lambda: DayTable(self.spark, f"{self.folder}/records"))
+        return self._aged(records.latest_time)
 
     def _aged(self, now: datetime | None) -> DataFrame:
-        times = self.spark.createDataFrame([(self.events.latest_time(), now)], "latest_event timestamp_ntz, now timestamp_ntz")
+        times = self.spark.createDataFrame([(self.events.latest_time, now)], "latest_event timestamp_ntz, now timestamp_ntz")
         return times.withColumn("minutes_since_last_event", boundary_diff("MINUTE", "latest_event", "now")).drop("now")
 
     def health_check(self) -> DataFrame:
@@ -144,7 +163,7 @@ class LiveLayer:
             "levels_with_deaths": self._rows_of("deaths_by_level"),
         }
         keys = self.table("key_presses").agg(F.sum("presses")).scalar()
-        row = self._aged(self.records().latest_time())
+        row = self._aged(self.records().latest_time)
         return row.select("*", *[F.lit(n).cast("bigint").alias(name) for name, n in counts.items()], keys.alias("total_key_presses"))
 
     def profile(self) -> DataFrame:
@@ -153,7 +172,7 @@ class LiveLayer:
         for seq, name in enumerate(("game_events", "event_timeline", "key_presses", "deaths_by_level", "powerups", "player_sessions"), start=1):
             first = latest = None
             if name == "game_events":
-                first, latest = self.events.first_time(), self.events.latest_time()
+                first, latest = self.events.first_time, self.events.latest_time
             elif name in TIMES:
                 low, high = TIMES[name]
                 first, latest = self.table(name).agg(F.min(low), F.max(high)).first()

@@ -12,12 +12,14 @@ Nothing is ever deleted but what a later batch writes over: a keyed table holds
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ENTRIES = "batch bigint, name int, value int, note string"
 COMMITTED = -1  # an entry of its own: a manifest may name no content
@@ -75,16 +77,17 @@ class KeyedTable:
     path: str
     keys: tuple[str, ...]
     spread: tuple[str, ...] = ()
-    buckets: int = 64
+    buckets: int = 32
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*[F.expr(name) for name in self.spread or self.keys]), F.lit(self.buckets)).cast("int")
 
-    def _rows(self, spark: SparkSession, versions: Iterable[tuple[int, int]]) -> DataFrame:
-        paths = [f"{self.path}/data/key_version={version}/key_bucket={bucket}" for bucket, version in sorted(versions)]
-        if not paths:  # no rows so far: the columns are those of the last batch
-            return spark.read.parquet(f"{self.path}/pending").limit(0)
-        return spark.read.option("basePath", f"{self.path}/data").parquet(*paths).drop("key_version")
+    def _rows(self, spark: SparkSession, held: Manifest, buckets: Iterable[int]) -> DataFrame:
+        paths = [f"{self.path}/data/key_version={held.entries[bucket]}/key_bucket={bucket}" for bucket in sorted(buckets)]
+        schema = StructType.fromJson(json.loads(held.note))
+        if not paths:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*paths).select(schema.names)
 
     def upsert(self, rows: DataFrame, batch: int, merge: dict[str, Column]) -> bool:
         """Merge ``rows`` into the table; ``merge`` has an aggregate for each column that is no key. False if it was done before."""
@@ -92,14 +95,12 @@ class KeyedTable:
         held = Manifest.read(spark, self.path)
         if batch <= held.batch:
             return False
-        pending = f"{self.path}/pending"
-        rows.select(*self.keys, *merge, self._bucket().alias("key_bucket")).write.mode("overwrite").parquet(pending)
-        fresh = spark.read.parquet(pending)
+        fresh = rows.select(*self.keys, *merge, self._bucket().alias("key_bucket")).persist()
         touched = [row.key_bucket for row in fresh.select("key_bucket").distinct().collect()]
         versions = {bucket: (held.entries.get(bucket, -1) + 1) % VERSIONS for bucket in touched}
         if touched:
-            old = self._rows(spark, [(bucket, held.entries[bucket]) for bucket in touched if bucket in held.entries])
-            both = fresh.unionByName(old) if any(bucket in held.entries for bucket in touched) else fresh
+            old = [bucket for bucket in touched if bucket in held.entries]
+            both = fresh.unionByName(self._rows(spark, held, old)) if old else fresh
             # Grouped where the buckets are: one shuffle, and a file for each bucket.
             merged = both.repartition(len(touched), "key_bucket").groupBy("key_bucket", *self.keys)
             version = F.create_map(*[F.lit(x) for pair in versions.items() for x in pair])[F.col("key_bucket")]
@@ -111,12 +112,14 @@ class KeyedTable:
                 .partitionBy("key_version", "key_bucket")
                 .parquet(f"{self.path}/data")
             )
-        Manifest.commit(spark, self.path, batch, held.entries | versions)
+        Manifest.commit(spark, self.path, batch, held.entries | versions, held.note or fresh.schema.json())
+        fresh.unpersist()
         return True
 
     def read(self, spark: SparkSession) -> DataFrame:
         """The rows as of the last committed batch."""
-        return self._rows(spark, Manifest.read(spark, self.path).entries.items()).drop("key_bucket")
+        held = Manifest.read(spark, self.path)
+        return self._rows(spark, held, held.entries).drop("key_bucket")
 
     def read_for(self, rows: DataFrame) -> DataFrame | None:
         """The stored rows in the buckets that ``rows`` have keys in; None before the first batch."""
@@ -125,7 +128,7 @@ class KeyedTable:
         if held.batch < 0:
             return None
         touched = {row.key_bucket for row in rows.select(self._bucket().alias("key_bucket")).distinct().collect()}
-        return self._rows(spark, [(bucket, version) for bucket, version in held.entries.items() if bucket in touched]).drop("key_bucket")
+        return self._rows(spark, held, touched & set(held.entries)).drop("key_bucket")
 
 
 @dataclass(frozen=True)

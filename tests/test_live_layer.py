@@ -88,7 +88,7 @@ def test_newest_first_reads_the_newest_days_only(layer, events):
         return rows
 
     same(table.newest(25, chosen), feeds.newest(events, 25))
-    days = sorted(str(day) for day in table.days())
+    days = sorted(str(day) for day in table.days)
     assert len(days) == DAYS and opened == [set(days[-1:])]
     opened.clear()
     same(table.newest(140, chosen), feeds.newest(events, 140))
@@ -143,7 +143,7 @@ def test_ids_beyond_one_bitmap(spark):
     numbers = minutes.id_numbers(rows, "session_id")
     bitmaps = minutes.minute_ids(rows, numbers, "session_id")
     assert bitmaps.groupBy("minute").count().agg(F.max("count")).first()[0] <= 2  # numbers of one time are near one another
-    tables = minutes.MinuteTables(None, {"session_id": (numbers, bitmaps)}, None, None)
+    tables = minutes.MinuteTables(None, lambda _: (numbers, bitmaps), None, None)
     start = ORIGIN + timedelta(minutes=2)
     assert tables.distinct_count("session_id", start, start + timedelta(minutes=3)).first()[0] == 30_000
     found = tables.distinct_ids("session_id", start, start + timedelta(minutes=3))
@@ -165,10 +165,10 @@ def test_health_and_profile_equal_those_over_all_events(layer, records, events):
 
 
 def test_time_of_the_newest_row_reads_one_day(layer, events):
-    assert layer.events.latest_time() == events.agg(F.max("timestamp")).first()[0]
-    assert layer.events.first_time() == events.agg(F.min("timestamp")).first()[0]
+    assert layer.events.latest_time == events.agg(F.max("timestamp")).first()[0]
+    assert layer.events.first_time == events.agg(F.min("timestamp")).first()[0]
     assert layer.events.last(hours=30).count() == events.where(
-        F.col("timestamp") >= F.lit(str(layer.events.latest_time() - timedelta(hours=30))).cast("timestamp_ntz")
+        F.col("timestamp") >= F.lit(str(layer.events.latest_time - timedelta(hours=30))).cast("timestamp_ntz")
     ).count()
 
 
