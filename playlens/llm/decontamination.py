@@ -104,9 +104,12 @@ def simhashes(texts: DataFrame) -> DataFrame:
     """(size, text, fp) for different (size, text): each bit by the sign of the shingles' weighted votes."""
     each = texts.withColumn("words", F.split("text", " ")).select("size", "text", F.explode(shingles("words")).alias("shingle"))
     each = each.select("size", "text", F.xxhash64("shingle").alias("h"), F.char_length("shingle").alias("w"))
-    votes = [F.sum(F.when(F.expr(f"shiftrightunsigned(h, {bit}) & 1") == 1, F.col("w")).otherwise(-F.col("w"))) for bit in range(64)]
-    counted = each.groupBy("size", "text").agg(*[vote.alias(f"v{bit}") for bit, vote in enumerate(votes)])
-    bits = [F.when(F.col(f"v{bit}") > 0, F.lit(_signed(1 << bit))).otherwise(F.lit(0).cast("long")) for bit in range(64)]
+    # Bits i and i + 32 are counted in the halves of one sum; a window has under 2^31 characters.
+    votes = [F.sum((F.shiftrightunsigned("h", bit).bitwiseAND(F.lit((1 << 32) + 1))) * F.col("w")).alias(f"v{bit}") for bit in range(32)]
+    counted = each.groupBy("size", "text").agg(*votes, F.sum("w").alias("all"))
+    halves = [(F.col(f"v{bit}").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(f"v{bit}", 32)) for bit in range(32)]
+    set_votes = [low for low, _ in halves] + [high for _, high in halves]
+    bits = [F.when(votes * 2 > F.col("all"), F.lit(_signed(1 << bit))).otherwise(F.lit(0).cast("long")) for bit, votes in enumerate(set_votes)]
     return counted.select("size", "text", reduce(Column.bitwiseOR, bits).alias("fp"))
 
 
