@@ -13,7 +13,7 @@ of documents outside the held-out fold are learned from.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is every text if there is nothing
 to learn from; a null id is in the fold of the empty text; repeated rows give repeated results; other columns are not
-read. More than ``MOST_LANGUAGES`` languages are refused.
+read. Only the ``MOST_LANGUAGES`` most frequent languages are learned.
 """
 
 from __future__ import annotations
@@ -32,7 +32,9 @@ SAMPLE_DOCS, SAMPLE_RUNS, RUN_WORDS, MOST_LANGUAGES = 300, 24, 16, 500
 SEQUENCE, ROUNDS, RATE, DECAY = 32, 40, 0.15, 1e-6
 BUCKETS, NGRAMS, LEXICON = 1 << 16, (2, 3, 4), 20_000
 CHUNK, KNOWN_WORDS = 64, 150_000
-UNDETERMINED, LEAST_SHARE = "und", 0.4
+UNDETERMINED = "und"
+#: Sequences of a gradient that are in memory together.
+AT_ONCE = 1000
 _EDGE = bytes(range(0x21, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
 _PRIME = np.uint64(0x100000001B3)
 
@@ -194,9 +196,7 @@ def sample_runs(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, runs: int = SAM
     """(lang, words) of runs from a bounded sample of labelled documents outside the held-out fold."""
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("lang").cast("string").alias("lang"), common.whole_text().alias("text"))
     labelled = labelled.filter(F.col("doc").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc")))
-    counts = labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return []
     # Hashes leave about four times the sample of each language, whatever its share, before rows are ranked.
@@ -246,7 +246,7 @@ def _chain_gradient(potentials: np.ndarray, gold: np.ndarray, transitions: np.nd
 
 
 def fit(runs: list[tuple[str, list[bytes]]], rounds: int = ROUNDS) -> Model | None:
-    """Maximise the conditional log-likelihood of switching sequences by Adam over the whole sample."""
+    """Maximise the conditional log-likelihood of switching sequences by Adam over the whole sample, a part at a time in memory."""
     runs = [run for run in runs if run[1]]
     if not runs:
         return None
@@ -276,8 +276,12 @@ def fit(runs: list[tuple[str, list[bytes]]], rounds: int = ROUNDS) -> Model | No
         scores = np.stack([np.bincount(owners, weights["ngram"][buckets, k], len(types)) for k in range(labels)], 1)
         scores[entries >= 0] += weights["lexicon"][entries[entries >= 0]]
         scores = np.exp(scores - scores.max(1, keepdims=True))
-        by_word, pairs = _chain_gradient(scores[rows], gold, np.exp(weights["chain"]))
-        by_type = np.stack([np.bincount(rows.ravel(), by_word[:, :, k].ravel(), len(types)) for k in range(labels)], 1)
+        by_type, pairs, transitions = np.zeros((len(types), labels)), np.zeros((labels, labels)), np.exp(weights["chain"])
+        for start in range(0, len(rows), AT_ONCE):
+            part = rows[start : start + AT_ONCE]
+            by_word, by_pair = _chain_gradient(scores[part], gold[start : start + AT_ONCE], transitions)
+            by_type += np.stack([np.bincount(part.ravel(), by_word[:, :, k].ravel(), len(types)) for k in range(labels)], 1)
+            pairs += by_pair
         known = entries >= 0
         gradients = {
             "ngram": np.stack([np.bincount(buckets, by_type[owners, k], BUCKETS) for k in range(labels)], 1),
@@ -314,15 +318,16 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(common.arrow_rows(schema, make), "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
-def identified(docs: DataFrame, model: Model | None, least: float = LEAST_SHARE) -> DataFrame:
-    """The columns and rows of ``docs`` with a language that has at least ``least`` of the posterior mass."""
+def identified(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The columns and rows of ``docs`` that have a language, however many they switch between; all rows if there is no model."""
+    if model is None:
+        return docs
 
     @F.arrow_udf("boolean")
     def accepted(texts: pa.Array) -> pa.Array:
         out: list[bool] = []
         for start in range(0, len(texts), common.TEXT_ROWS):
-            names, scores = _predict(model, texts.slice(start, common.TEXT_ROWS).to_pylist())
-            out += [name != UNDETERMINED and score >= least for name, score in zip(names, scores, strict=True)]
+            out += [name != UNDETERMINED for name in model.predict(texts.slice(start, common.TEXT_ROWS).to_pylist())[0]]
         return pa.array(out, pa.bool_())
 
     return docs.filter(accepted(common.whole_text()))
