@@ -57,6 +57,16 @@ def store(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sampled(key: Column, share: float) -> Column:
+    """Whether a row is in a sample of this share of the keys, by all bits of their hash, so that no share is too small."""
+    return F.shiftrightunsigned(F.xxhash64(key), 1) <= F.lit(min((1 << 63) - 1, int(share * (1 << 63))))
+
+
+def spread(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` over as many tasks as shuffles have, even if it is small: for rows that grow many times in the next step."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names)
+
+
 def window_of(*names: str) -> WindowSpec:
     """All rows that agree in ``names``."""
     return Window.partitionBy(*names)

@@ -151,7 +151,7 @@ def labelled_values(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_valu
     """(random strings, long runs, short words of several texts) of a sample of documents chosen by hash."""
     raw = docs.select(common.whole_text().alias("text"))
     share = min(1.0, sample_docs / max(1, raw.count()))
-    sample = raw.withColumn("tie", F.xxhash64("text")).filter(F.pmod("tie", F.lit(1_000_000)) < round(share * 1_000_000))
+    sample = raw.withColumn("tie", F.xxhash64("text")).filter(common.sampled(F.col("text"), share))
     schema = pa.schema([("label", pa.string()), ("value", pa.string()), ("low", pa.int64()), ("high", pa.int64())])
 
     def make(batch: pa.RecordBatch) -> dict:

@@ -70,7 +70,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v): verified links that connect all distinct fingerprints ``fp`` at most ``radius`` bits apart."""
     if radius % 2:
         raise ValueError("the radius must be even: it is met from both sides")
-    spread = nodes.repartition("fp").select("fp", F.explode(ball(F.col("fp"), radius // 2)).alias("variant"))
+    spread = common.spread(nodes, "fp").select("fp", F.explode(ball(F.col("fp"), radius // 2)).alias("variant"))
     met = spread.groupBy("variant").agg(F.collect_set("fp").alias("members")).filter(F.size("members") > 1)
     met = met.select(F.array_min("members").alias("v"), F.explode("members").alias("u"))
     close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).between(1, radius)

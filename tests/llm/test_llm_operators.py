@@ -412,6 +412,15 @@ def test_words_of_switched_text_are_labelled(labelled, model):
     mixed = " ".join([*texts["en"][:60], *texts["fr"][:60], *texts["de"][:60]])
     shares = dict(zip(model.languages, model.shares([mixed])[0], strict=True))
     assert all(abs(shares[lang] - 1 / 3) < 0.1 for lang in ("en", "fr", "de"))
+    evenly = " ".join(word for lang in ("en", "fr", "de", "es") for word in texts[lang][:50])
+    switched = frame(labelled.sparkSession, [(1, mixed, None, None, 0), (2, evenly, "en", "a", 0), (3, "12 3 ,", "en", "a", 0)])
+    assert sorted(r.doc_id for r in language_id.identified(switched, model).collect()) == [1, 2]
+
+
+def test_samples_of_any_share(spark):
+    rows = spark.range(20_000)
+    for share, low, high in ((2.0, 20_000, 20_000), (1.0, 20_000, 20_000), (0.25, 4_500, 5_500), (1e-12, 0, 2)):
+        assert low <= rows.filter(common.sampled(F.col("id"), share)).count() <= high
 
 
 def test_language_of_awkward_rows(spark, docs, rows, model):
@@ -422,6 +431,7 @@ def test_language_of_awkward_rows(spark, docs, rows, model):
     assert all((r.score == 0) == (r.lang_pred == "und") for r in got)
     kept = language_id.identified(docs, model)
     assert kept.columns == docs.columns and not unknown - {None} & {r.doc_id for r in kept.select("doc_id").collect()}
+    assert language_id.identified(docs, None).count() == docs.count()
     assert language_id.train(docs.limit(0)) is None
     assert {r.lang_pred for r in language_id.predict(docs, None).collect()} == {"und"}
     assert language_id.predict(docs.limit(0), model).count() == 0

@@ -25,7 +25,7 @@ def test_query_equals_sql(spark, sf_dir, name):
 
 def test_every_operator_is_registered_once():
     numbers = sorted(int(name[2:].split("_")[0]) for name in entry.queries() if name.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries()
     assert set(queries.ORACLES) <= set(entry.oracle_sql())
 
 
