@@ -16,8 +16,8 @@ import os
 import statistics
 import time
 
-from playlens.operators import leaderboard
 from playlens.plans import feeds, registry, rollups, verified
+from playlens.plans.live_layer import LiveLayer
 from playlens.session import build_session, new_path
 from playlens.sources import event_table, live_store
 from playlens.sources.bindings import Telemetry
@@ -83,27 +83,30 @@ def main() -> None:
     for name in HEADLINE:
         measure(name, lambda: registry.QUERIES[name](telemetry))
 
-    folder = new_path(spark, "bench_live")
+    layer = LiveLayer(spark, new_path(spark, "bench_layer"))
+    layer.append_records(telemetry.event_table)
 
     def refresh() -> None:
-        live_store.refresh_live_tables(telemetry.game_events, folder)
+        live_store.refresh_live_tables(telemetry.game_events, layer.folder)
 
     measure("build/live_tables", refresh, 1)
+    measure("build/layer", lambda: layer.refresh(), 1)
 
-    live = {name: live_store.scan_live_table(spark, folder, name) for name in live_store.LIVE_TABLES}
-    events = live["game_events"]
     panels = {
-        "live/kpi_totals": lambda: rollups.kpi_totals(events, live["powerups"]),
-        "live/kpi_totals_player": lambda: rollups.kpi_totals(events, live["powerups"], player=registry.PLAYER),
-        "live/deaths_rollup": lambda: rollups.deaths_rollup(live["deaths_by_level"]),
-        "live/keys_rollup": lambda: rollups.keys_rollup(live["key_presses"]),
-        "live/powerups_rollup": lambda: rollups.powerups_rollup(live["powerups"]),
-        "live/event_feed_200": lambda: feeds.event_feed(events, limit=200, as_text=True),
-        "live/timeline_500": lambda: feeds.timeline(live["event_timeline"], limit=500),
-        "live/leaderboard": lambda: leaderboard.leaderboard(events),
-        "live/recent_sessions_50": lambda: feeds.recent_sessions(events),
-        "live/vq_event_frequency": lambda: verified.event_frequency(events),
-        "live/vq_sessions_by_coins": lambda: verified.sessions_by_coins(live["player_sessions"]),
+        "live/kpi_totals": lambda: rollups.kpi_totals(layer.table("game_events"), layer.table("powerups")),
+        "live/kpi_totals_player": lambda: rollups.kpi_totals(layer.table("game_events"), layer.table("powerups"), player=registry.PLAYER),
+        "live/deaths_rollup": lambda: rollups.deaths_rollup(layer.table("deaths_by_level")),
+        "live/keys_rollup": lambda: rollups.keys_rollup(layer.table("key_presses")),
+        "live/powerups_rollup": lambda: rollups.powerups_rollup(layer.table("powerups")),
+        "live/event_feed_200": lambda: layer.event_feed(limit=200, as_text=True),
+        "live/timeline_500": lambda: feeds.timeline(layer.table("event_timeline"), limit=500),
+        "live/leaderboard": lambda: layer.leaderboard(),
+        "live/recent_sessions_50": lambda: layer.recent_sessions(),
+        "live/vq_event_frequency": lambda: verified.event_frequency(layer.table("game_events")),
+        "live/vq_sessions_by_coins": lambda: verified.sessions_by_coins(layer.table("player_sessions")),
+        "live/vq_activity_summary": lambda: layer.activity_summary(),
+        "live/health_check": lambda: layer.health_check(),
+        "live/record_type_counts": lambda: layer.record_type_counts(),
     }
     for name, build in panels.items():
         measure(name, build)

@@ -51,11 +51,11 @@ def check_cardinality(left: DataFrame, right: DataFrame, on: list[str]) -> DataF
     )
 
 
-def join_relationship(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+def join_relationship(left: DataFrame, right: DataFrame, on: list[str], *, salts: int = SALTS) -> DataFrame:
     """Inner join of a many-to-one relationship; the run fails if ``right`` repeats a key.
 
-    Each side is read once and nothing runs before the result is asked for. A key that holds much of the left rows is
-    dealt over ``SALTS`` tasks.
+    Each side is read once and nothing runs before the result is asked for. The rows of a key that holds much of the left
+    side, equal ones too, are dealt in turn over ``salts`` tasks; 1 leaves them together and the right side as it is.
     """
     left, right = _complete(left, on), _complete(right, on)
     others = [name for name in right.columns if name not in on]
@@ -63,6 +63,6 @@ def join_relationship(left: DataFrame, right: DataFrame, on: list[str]) -> DataF
     rows = right.groupBy(*on).agg(F.count("*").alias("__n"), F.any_value(F.struct(*others)).alias("__row"))
     fault = f"not a many-to-one relationship: the right side repeats values of {on}"
     single = rows.where(F.assert_true(F.col("__n") == 1, F.lit(fault)).isNull()).select(*on, *kept)
-    salted = single.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)))
+    salted = single.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    dealt = left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
     return dealt.join(salted, [*on, "__salt"]).drop("__salt")

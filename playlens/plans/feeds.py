@@ -119,8 +119,12 @@ def recent_logs(event_table: DataFrame, *, as_of=None, minutes: int = 10, limit:
 
 def latest_raw_span(event_table: DataFrame, *, service: str = DEFAULT_SERVICE) -> DataFrame:
     """The newest span as it is stored."""
-    records = scan_service_records(event_table, service, "SPAN")
-    return newest(records, 1).select(
+    return raw_span(newest(scan_service_records(event_table, service, "SPAN"), 1))
+
+
+def raw_span(records: DataFrame, *also: str) -> DataFrame:
+    return records.select(
+        *also,
         "timestamp",
         "record_type",
         text("record", "name").alias("event_name"),

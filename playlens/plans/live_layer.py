@@ -14,7 +14,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlens.functions.predicates import known_player
+from playlens.functions.predicates import known_player, last
 from playlens.functions.timefns import boundary_diff, local_text, local_time
 from playlens.operators import leaderboard, minutes, projections
 from playlens.plans import feeds
@@ -113,6 +113,36 @@ class LiveLayer:
     def event_feed(self, *, limit: int = 500, player: str | None = None, zone: str = DEFAULT_ZONE, as_text: bool = False) -> DataFrame:
         return feeds.shown_feed(self.events.newest(limit, lambda rows: feeds.fed(rows, player)), zone=zone, as_text=as_text)
 
+    def view_newest(self, limit: int) -> DataFrame:
+        """The newest events as the view over the stored records shows them."""
+        return self.records("SPAN").newest(limit, lambda rows: projections.game_events(rows, service=None))
+
+    def latest_raw_span(self) -> DataFrame:
+        """The newest span as it is stored."""
+        rows = self.records("SPAN").newest(1, lambda rows: feeds.raw_span(rows, "event_id"))
+        return rows.drop("event_id")
+
+    def _of_all(self, record_type: str) -> DayTable:
+        """The stored records of one type and all services."""
+        path, fixed = f"{self.folder}/records", (("record_type", record_type),)
+        return self._once(("all", record_type), lambda: DayTable(self.spark, path, fixed))
+
+    def recent_spans(self, *, minutes: int = 5, limit: int = 25) -> DataFrame:
+        """The newest game spans of any service."""
+        table = self._of_all("SPAN")
+        return feeds.recent_spans(table.last(minutes=minutes), as_of=table.latest_time, minutes=minutes, limit=limit)
+
+    def recent_logs(self, *, minutes: int = 10, limit: int = 20) -> DataFrame:
+        """The newest log lines of any service."""
+        table = self._of_all("LOG")
+        return feeds.recent_logs(table.last(minutes=minutes), as_of=table.latest_time, minutes=minutes, limit=limit)
+
+    def spans_of_last(self, *, hours: int = 0, minutes: int = 0, strict: bool = False) -> DataFrame:
+        """Game spans of the last ``hours`` and ``minutes`` before the newest one."""
+        table = self.records("SPAN")
+        spans = projections.spans(table.last(hours=hours, minutes=minutes), service=None)
+        return last(spans, hours=hours, minutes=minutes, as_of=table.latest_time or datetime.min, strict=strict)
+
     def recent_sessions(self, *, limit: int = 50, player: str | None = None) -> DataFrame:
         return feeds.shown_sessions(self.events.newest(limit, lambda rows: feeds.finished(rows, player)))
 

@@ -217,12 +217,12 @@ add(
     .withColumn("record_attributes", json_text("record_attributes"))
     .drop("event_id"),
     spans=lambda t: t.spans,
-    recent_spans=lambda t: feeds.recent_spans(t.event_table),
-    recent_spans_6h=lambda t: feeds.recent_spans(t.event_table, minutes=360),
-    recent_logs=lambda t: feeds.recent_logs(t.event_table),
-    recent_logs_6h=lambda t: feeds.recent_logs(t.event_table, minutes=360),
-    latest_raw_span=lambda t: feeds.latest_raw_span(t.event_table),
-    latest_view_event=lambda t: feeds.newest(t.game_events, 1),
+    recent_spans=lambda t: layer(t).recent_spans(),
+    recent_spans_6h=lambda t: layer(t).recent_spans(minutes=360),
+    recent_logs=lambda t: layer(t).recent_logs(),
+    recent_logs_6h=lambda t: layer(t).recent_logs(minutes=360),
+    latest_raw_span=lambda t: layer(t).latest_raw_span(),
+    latest_view_event=lambda t: layer(t).view_newest(1),
     latest_live_event=lambda t: layer(t).newest(1),
     pred_prefix=lambda t: t.spans.where(predicates.has_prefix("game.game_")).select("event_id", "event_type"),
     pred_exclude=lambda t: t.spans.where(predicates.not_event("key_press")).select("event_id", "event_type"),
@@ -247,7 +247,7 @@ add(
 
 
 def _last(strict: bool = False, **window) -> Query:
-    return lambda t: predicates.last(t.spans, strict=strict, **window).select("event_id", "timestamp")
+    return lambda t: layer(t).spans_of_last(strict=strict, **window).select("event_id", "timestamp")
 
 
 add(
@@ -420,7 +420,7 @@ def _rounded_sum(histogram: DataFrame) -> DataFrame:
 add(
     live_events_25=lambda t: layer(t).newest(25),
     live_events_10=lambda t: layer(t).newest(10),
-    view_events_10=lambda t: feeds.newest(t.game_events, 10),
+    view_events_10=lambda t: layer(t).view_newest(10),
     event_feed_500=lambda t: layer(t).event_feed(limit=500),
     event_feed_200=lambda t: layer(t).event_feed(limit=200, as_text=True),
     event_feed_player=lambda t: layer(t).event_feed(limit=200, player=PLAYER, as_text=True),

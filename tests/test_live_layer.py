@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import ORIGIN, plan_of, spans_frame
+from playlens.functions import predicates
 from playlens.operators import aggregates, leaderboard, minutes, projections
 from playlens.plans import feeds, rollups, verified
 from playlens.plans.live_layer import LiveLayer
@@ -109,6 +110,16 @@ def test_lists_equal_those_over_all_events(layer, events):
     same(layer.activity_summary(), verified.activity_summary(events))
 
 
+def test_views_over_the_stored_records(layer, records, events):
+    same(layer.view_newest(30), feeds.newest(events, 30))
+    same(layer.latest_raw_span(), feeds.latest_raw_span(records))
+    for minutes_ in (10, 2000):
+        same(layer.recent_spans(minutes=minutes_), feeds.recent_spans(records, minutes=minutes_))
+        same(layer.recent_logs(minutes=minutes_), feeds.recent_logs(records, minutes=minutes_))
+        spans = predicates.last(projections.spans(records), minutes=minutes_, strict=True)
+        same(layer.spans_of_last(minutes=minutes_, strict=True), spans)
+
+
 def test_ranges_of_minutes_equal_brute_force(layer, events):
     rng = random.Random(6)
     rows = events.collect()

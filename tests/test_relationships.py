@@ -19,6 +19,12 @@ def test_join_with_a_hot_key_and_missing_keys(spark):
     assert sorted(map(tuple, got.select("k", "j", "id", "v").collect())) == want
 
 
+@pytest.mark.parametrize("salts", [1, 3])
+def test_equal_rows_are_dealt_over_the_salts(spark, salts):
+    left, right = spark.createDataFrame([(1, "hot", "x")] * 60, LEFT), spark.createDataFrame([("hot", "x", 1)], RIGHT)
+    assert join_relationship(left, right, ["k", "j"], salts=salts).count() == 60
+
+
 def test_many_to_many_is_refused(spark):
     right = spark.createDataFrame([("a", "x", 1), ("a", "x", 2)], RIGHT)
     left = spark.createDataFrame([(1, "a", "x")], LEFT)
@@ -35,7 +41,7 @@ def test_primary_key(spark):
 
 
 def test_each_side_is_read_once(spark, sf_dir):
-    from playlens.plans.registry import QUERIES
+    from playlens.plans import registry
     from playlens.sources.bindings import Telemetry
 
     seen = spark.sparkContext.accumulator(0)
@@ -48,7 +54,8 @@ def test_each_side_is_read_once(spark, sf_dir):
         return value
 
     telemetry.events = telemetry.events.withColumn("event_id", counted("event_id"))
-    frame = QUERIES["rel_powerups_deaths"](telemetry)
+    tables = [registry.defined(telemetry, name) for name in ("powerups", "deaths_by_level")]
+    frame = join_relationship(*tables, ["player_name", "level"])
     assert seen.value == 0
     frame.collect()
     assert seen.value <= 2 * 2 * rows  # two sides; each reads spans of two services
