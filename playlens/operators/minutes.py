@@ -2,7 +2,8 @@
 
 * Distinct ids: ids are numbered in the order in which they first came, and each minute has bitmaps of the numbers seen in it.
   Bitmaps merge by OR, so distinct counts of minutes combine exactly. Ids of one time have numbers near one another, so a
-  minute has few bitmaps.
+  minute has few bitmaps. A bitmap holds only its words of 64 numbers that are not empty: it is never larger than the ids it
+  came from, however few of them fall into a minute.
 * Best games: each minute has its ``limit`` best rows in an array. The best of a range are among those of its minutes.
 * Counts: events and event types of each minute.
 
@@ -24,6 +25,8 @@ from playlens.operators.leaderboard import best_first
 from playlens.operators.ordered import global_rank
 
 MINUTE = timedelta(minutes=1)
+#: A bitmap covers two to this power of words.
+BUCKET_BITS = 9
 
 
 def _minute() -> Column:
@@ -45,19 +48,20 @@ def id_numbers(events: DataFrame, column: str) -> DataFrame:
     return global_rank(firsts, [F.col("first").asc_nulls_first(), "id"], "number").select("id", "number")
 
 
-def _bitmaps(rows: DataFrame, numbers: DataFrame, column: str, *keys: Column | str) -> DataFrame:
+def _words(rows: DataFrame, numbers: DataFrame, column: str, *keys: Column | str) -> DataFrame:
+    """(*keys, word, bits): the numbers seen, 64 to a word. Words are sums of bits, so tasks merge theirs before the shuffle."""
     pairs = rows.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("id")).distinct()
     names = [name for name in pairs.columns if name != "id"]
-    return (
-        pairs.join(numbers, "id")
-        .groupBy(*names, F.bitmap_bucket_number("number").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bitmap"))
-    )
+    word, bit = F.shiftright("number", 6), F.col("number").bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    return pairs.join(numbers, "id").groupBy(*names, word.alias("word")).agg(F.bit_or(one).alias("bits"))
 
 
 def minute_ids(events: DataFrame, numbers: DataFrame, column: str) -> DataFrame:
-    """(minute, bucket, bitmap): the numbers of the ids of each minute."""
-    return _bitmaps(events, numbers, column, _minute())
+    """(minute, bucket, words): the numbers of the ids of each minute, a row for each ``2 ** BUCKET_BITS`` words that are not all empty."""
+    words = _words(events, numbers, column, _minute())
+    bucket = F.shiftright("word", BUCKET_BITS).alias("bucket")
+    return words.groupBy("minute", bucket).agg(F.collect_list(F.struct("word", "bits")).alias("words"))
 
 
 def finished_games(events: DataFrame) -> DataFrame:
@@ -117,26 +121,24 @@ class MinuteTables:
         return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0] if parts else None
 
     def _numbers_seen(self, column: str, start: datetime, end: datetime) -> DataFrame:
+        """(word, bits) of the numbers seen."""
         numbers, bitmaps = self.ids(column)
-        rows, edges = self._inside(bitmaps, start, end).select("bucket", "bitmap"), self._edges(start, end)
+        rows, edges = self._inside(bitmaps, start, end).select(F.inline("words")), self._edges(start, end)
         if edges is not None:
-            rows = rows.unionByName(_bitmaps(edges, numbers, column))
-        return rows.groupBy("bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+            rows = rows.unionByName(_words(edges, numbers, column))
+        return rows.groupBy("word").agg(F.bit_or("bits").alias("bits"))
 
     def distinct_count(self, column: str, start: datetime, end: datetime) -> DataFrame:
         """One row: how many ids were seen."""
         seen = self._numbers_seen(column, start, end)
-        return seen.agg(F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0)).alias("ids"))
+        return seen.agg(F.coalesce(F.sum(F.bit_count("bits").cast("bigint")), F.lit(0)).alias("ids"))
 
     def distinct_ids(self, column: str, start: datetime, end: datetime) -> DataFrame:
         """The ids that were seen."""
-        byte = F.conv(F.hex(F.substring("bitmap", F.col("at") + 1, F.lit(1))), 16, 10).cast("int")
-        bytes_ = self._numbers_seen(column, start, end).select("bucket", "bitmap", F.explode(F.sequence(F.lit(0), F.lit(4095))).alias("at"))
-        held = bytes_.select("bucket", "at", byte.alias("byte")).where("byte <> 0")
-        bits = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit")).where(F.expr("getbit(byte, bit) = 1"))
-        # A bucket holds 32768 numbers, the first of them from 1 on.
-        number = (F.col("bucket") - 1) * 32768 + F.col("at") * 8 + F.col("bit") + 1
-        return bits.select(number.alias("number")).join(self.ids(column)[0], "number").select(F.col("id").alias(column))
+        bits = self._numbers_seen(column, start, end).select("word", "bits", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
+        number = F.col("word") * 64 + F.col("bit")
+        seen = bits.where(F.expr("getbit(bits, bit) = 1")).select(number.alias("number"))
+        return seen.join(self.ids(column)[0], "number").select(F.col("id").alias(column))
 
     def summary(self, start: datetime, end: datetime) -> DataFrame:
         """One row: events, sessions and event types."""

@@ -161,6 +161,29 @@ def test_ids_beyond_one_bitmap(spark):
     assert found.count() == found.distinct().count() == 30_000 and found.where("session_id = 's20000'").count() == 1
 
 
+def test_minutes_of_few_ids_have_small_bitmaps(spark):
+    rows = spark.range(5000).select(
+        F.concat(F.lit("s"), F.col("id") * 20).alias("session_id"),
+        (F.lit(str(ORIGIN)).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("id").cast("int"))).alias("timestamp"),
+    )
+    numbers = minutes.id_numbers(rows, "session_id")
+    bitmaps = minutes.minute_ids(rows, numbers, "session_id")
+    assert bitmaps.count() == 5000
+    path = new_path(spark, "bitmaps")
+    bitmaps.select(F.length(F.to_json("words")).alias("size")).write.parquet(path)
+    assert spark.read.parquet(path).agg(F.max("size")).first()[0] < 200
+    tables = minutes.MinuteTables(None, lambda _: (numbers, bitmaps), None, None)
+    assert {r[0] for r in tables.distinct_ids("session_id", ORIGIN, ORIGIN + timedelta(minutes=130)).collect()} == {f"s{20 * i}" for i in range(130)}
+
+
+def test_records_of_one_type_list_no_other_folders(layer):
+    paths = layer.records("SPAN").rows().inputFiles()
+    assert paths and all("/record_type=SPAN/" in path and f"/service={layer.service}/" in path for path in paths)
+    counted = layer.records().count()
+    assert counted == layer.records().rows().count()
+    assert layer.records("NONE").count() == layer.records("NONE").rows().count() == 0
+
+
 def test_counts_come_from_footers(spark, layer, records):
     counts = footer_counts(spark, f"{layer.folder}/records", ("service", "record_type", "event_date"), "record_type")
     assert "PushedAggregation: [COUNT(*)]" in counts._jdf.queryExecution().toString()
