@@ -79,7 +79,10 @@ class LiveLayer:
     def records(self, *record_type: str) -> DayTable:
         """The stored records of the service, of one type if it is given."""
         fixed = (("service", self.service), *(("record_type", name) for name in record_type))
-        return self._once(("records", *record_type), lambda: DayTable(self.spark, f"{self.folder}/records", fixed))
+        return self._once(("records", *record_type), lambda: self._stored(fixed))
+
+    def _stored(self, fixed: tuple[tuple[str, str], ...] = ()) -> DayTable:
+        return DayTable(self.spark, f"{self.folder}/records", fixed, folders=RECORD_FOLDERS[:-1])
 
     def table(self, name: str) -> DataFrame:
         return self._once((name,), lambda: scan_live_table(self.spark, self.folder, name))
@@ -124,8 +127,7 @@ class LiveLayer:
 
     def _of_all(self, record_type: str) -> DayTable:
         """The stored records of one type and all services."""
-        path, fixed = f"{self.folder}/records", (("record_type", record_type),)
-        return self._once(("all", record_type), lambda: DayTable(self.spark, path, fixed))
+        return self._once(("all", record_type), lambda: self._stored((("record_type", record_type),)))
 
     def recent_spans(self, *, minutes: int = 5, limit: int = 25) -> DataFrame:
         """The newest game spans of any service."""
@@ -177,7 +179,7 @@ class LiveLayer:
 
     def freshness(self) -> DataFrame:
         """The newest live event and its age at the newest record of any service."""
-        records = self._once(("records", "of all services"), lambda: DayTable(self.spark, f"{self.folder}/records"))
+        records = self._once(("records", "of all services"), lambda: self._stored())
         return self._aged(records.latest_time)
 
     def _aged(self, now: datetime | None) -> DataFrame:

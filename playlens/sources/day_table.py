@@ -8,11 +8,13 @@ Parquet's aggregate push-down, and times from the first or last day alone.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from datetime import date, datetime, timedelta
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -28,7 +30,9 @@ def _variant(spark: SparkSession, **settings: str) -> SparkSession:
     key = (spark.sparkContext.applicationId, *sorted(settings.items()))
     if key not in _SESSIONS:
         _SESSIONS[key] = spark.newSession()
-        for name, value in {"spark.sql.session.timeZone": "UTC", **settings}.items():
+        # Folders are listed by so many tasks, not by one task each.
+        listing = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": "64"}
+        for name, value in {"spark.sql.session.timeZone": "UTC", **listing, **settings}.items():
             _SESSIONS[key].conf.set(name, value)
     return _SESSIONS[key]
 
@@ -63,14 +67,29 @@ class DayTable:
     path: str
     fixed: tuple[tuple[str, str], ...] = ()
     columns: str | None = None  # the schema in JSON, if it is known; a table without rows needs it
+    folders: tuple[str, ...] = ()  # the partition columns above the day, in their order
 
     @cached_property
     def _rows(self) -> DataFrame:
-        rows = _reader(self.spark, self.columns).parquet(self.path)
+        rows = self._open(_reader(self.spark, self.columns))
         for name, value in self.fixed:
             rows = rows.where(F.col(name) == value)
         return rows
 
+    def _open(self, reader: DataFrameReader) -> DataFrame:
+        """All rows of the folders of the ``fixed`` values: those of other values are not even listed."""
+        fixed = dict(self.fixed)
+        last = max((at for at, name in enumerate(self.folders, start=1) if name in fixed), default=0)
+        # A name that a path would show in another form is left to the filter.
+        if last and all(re.fullmatch(r"[A-Za-z0-9_.-]+", value) for value in fixed.values()):
+            parts = [f"{name}={fixed.get(name, '*')}" for name in self.folders[:last]]
+            try:
+                return reader.option("basePath", self.path).parquet("/".join([self.path, *parts]))
+            except AnalysisException as error:
+                if error.getCondition() != "PATH_NOT_FOUND":
+                    raise
+        return reader.parquet(self.path)
+
     def rows(self) -> DataFrame:
         return self._rows.drop(DAY)
 
@@ -132,5 +151,6 @@ class DayTable:
     def count(self) -> int:
         """Rows, from the footers."""
         names = [name for name, _ in self.fixed]
-        counts = footer_counts(self.spark, self.path, (*names, DAY), *names, columns=self.columns).collect()
+        folders = (*(self.folders or names), DAY)
+        counts = footer_counts(self.spark, self.path, folders, *names, columns=self.columns).collect()
         return sum(row.total for row in counts if all(row[name] == value for name, value in self.fixed))
