@@ -6,12 +6,16 @@ Outer columns are fixed; ``record``, ``record_attributes``, ``resource_attribute
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playlens.functions.attributes import text
 from playlens.vocabulary import DEFAULT_SERVICE, SERVICE_KEY
 
+#: Rows of one range of a stored table.
+RANGE_ROWS = 250_000
 COLUMNS = (
     "event_id",
     "timestamp",
@@ -130,6 +134,8 @@ def write_event_table(
 
     Range partitioning on the type and the time gives every file a short span of time, which
     Parquet statistics can skip, and splits a day that holds much of the data over many tasks.
+    There are as many ranges as keep each at about ``RANGE_ROWS`` rows, since a task sorts its range in memory; the order
+    is that of the folders, so that the writer need not sort again.
     Without ``by_day`` there is a folder per type only, for tables with few rows a day.
     """
     rows = event_table.withColumn("event_date", F.to_date("timestamp")) if by_day else event_table
@@ -137,9 +143,10 @@ def write_event_table(
     if by_service:
         rows, folders = rows.withColumn("service", text("resource_attributes", SERVICE_KEY)), ["service", *folders]
     first = [name for name in folders if name != "event_date"]
+    ranges = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(event_table.count() / RANGE_ROWS))
     (
-        rows.repartitionByRange(*first, "timestamp", "event_id")
-        .sortWithinPartitions(*first, "timestamp")
+        rows.repartitionByRange(ranges, *first, "timestamp", "event_id")
+        .sortWithinPartitions(*folders, "timestamp")
         .write.mode(mode)
         .partitionBy(*folders)
         .parquet(path)

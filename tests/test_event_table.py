@@ -79,3 +79,13 @@ def test_leaderboard_numbers_only_the_best(spark, stored):
 
     plan = plan_of(leaderboard(projections.game_events(stored), as_of=datetime(2024, 1, 30)))
     assert "TakeOrderedAndProject" in plan or "Limit" in plan.split("Window")[1]
+
+
+def test_ranges_of_a_written_table_have_bounded_rows(spark, sf_dir, monkeypatch):
+    """A task sorts few rows however large the table is: the number of files follows from the rows."""
+    monkeypatch.setattr(event_table, "RANGE_ROWS", 100)
+    records = Telemetry(spark, sf_dir).event_table
+    path = new_path(spark, "ranged")
+    event_table.write_event_table(records, path, by_day=False)
+    sizes = spark.read.parquet(path).groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    assert sizes < 1000
