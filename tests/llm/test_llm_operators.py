@@ -294,6 +294,12 @@ def test_url_filter_equals_brute_force(spark):
     assert good > bad
 
 
+def test_url_filter_learns_from_every_labelled_url(spark):
+    urls = spark.range(250_000).select(F.concat(F.lit("http://a.org/"), "id").alias("url"))
+    labelled = url_filter._labelled(urls, url_filter.RULES, url_filter.TRAIN_URLS)
+    assert labelled.count() == 250_000
+
+
 def test_url_filter_without_rows_or_labels(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string")
     assert url_filter.judge(pages).count() == 0
