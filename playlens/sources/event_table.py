@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playlens.functions.attributes import text
+from playlens.functions.places import with_place
 from playlens.vocabulary import DEFAULT_SERVICE, SERVICE_KEY
 
 #: Rows of one range of a stored table.
 RANGE_ROWS = 250_000
+#: Sampled rows of a range, from which the limits of ranges follow.
+RANGE_SAMPLE, SEED = 100, 20240301
 COLUMNS = (
     "event_id",
     "timestamp",
@@ -127,6 +130,14 @@ def split_by_record_type(event_table: DataFrame, service: str | None = DEFAULT_S
     return {kind: scan_service_records(event_table, service, kind) for kind in ("SPAN", "METRIC", "LOG")}
 
 
+def _range_limits(keys: DataFrame, count: int, ranges: int) -> Column:
+    """The sorted limits between ``ranges`` ranges of about equally many of the ``count`` keys, as a value. They say where rows lie, no more."""
+    sample = keys.where(F.rand(SEED) < F.lit(min(1.0, ranges * RANGE_SAMPLE / max(1, count))))
+    ordered = sample.agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    limit = lambda i: F.get("keys", F.floor(F.size("keys") * i / ranges).cast("int"))
+    return ordered.select(F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), limit)).scalar()
+
+
 def write_event_table(
     event_table: DataFrame, path: str, mode: str = "append", *, by_day: bool = True, by_service: bool = False
 ) -> None:
@@ -135,7 +146,8 @@ def write_event_table(
     Range partitioning on the type and the time gives every file a short span of time, which
     Parquet statistics can skip, and splits a day that holds much of the data over many tasks.
     There are as many ranges as keep each at about ``RANGE_ROWS`` rows, since a task sorts its range in memory; the order
-    is that of the folders, so that the writer need not sort again.
+    is that of the folders, so that the writer need not sort again. The limits come from a sample of the ordering columns alone:
+    Spark's own range partitioning would build every VARIANT for it, and again for the shuffle.
     Without ``by_day`` there is a folder per type only, for tables with few rows a day.
     """
     rows = event_table.withColumn("event_date", F.to_date("timestamp")) if by_day else event_table
@@ -143,9 +155,13 @@ def write_event_table(
     if by_service:
         rows, folders = rows.withColumn("service", text("resource_attributes", SERVICE_KEY)), ["service", *folders]
     first = [name for name in folders if name != "event_date"]
-    ranges = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(event_table.count() / RANGE_ROWS))
+    count = event_table.count()
+    ranges = max(2, rows.sparkSession.sparkContext.defaultParallelism, math.ceil(count / RANGE_ROWS))
+    order = F.struct(*first, "timestamp", "event_id")
     (
-        rows.repartitionByRange(ranges, *first, "timestamp", "event_id")
+        with_place(rows, "event_range", order, _range_limits(rows.select(order.alias("key")), count, ranges), ranges - 1)
+        .repartitionById(ranges, "event_range")
+        .drop("event_range")
         .sortWithinPartitions(*folders, "timestamp")
         .write.mode(mode)
         .partitionBy(*folders)

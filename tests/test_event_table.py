@@ -89,3 +89,34 @@ def test_ranges_of_a_written_table_have_bounded_rows(spark, sf_dir, monkeypatch)
     event_table.write_event_table(records, path, by_day=False)
     sizes = spark.read.parquet(path).groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
     assert sizes < 1000
+
+
+def test_records_are_built_once_for_a_stored_table(spark):
+    """Limits of ranges come from the ordering columns, not from whole records."""
+    built = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def attributes(event_id):
+        built.add(1)
+        return '{"coins":"5"}'
+
+    rows = record(spark).drop("event_id").crossJoin(spark.range(500).select(F.col("id").alias("event_id")))
+    rows = rows.withColumn("record_attributes", F.parse_json(attributes("event_id")))
+    path = new_path(spark, "built_once")
+    event_table.write_event_table(rows.select(*event_table.COLUMNS), path)
+    assert built.value == 500
+    assert event_table.read_event_table(spark, path).count() == 500
+
+
+def test_awkward_records_are_stored_whole(spark):
+    """Null times, ids and types, equal rows, and no rows at all."""
+    known = record(spark)
+    rows = known
+    for name in ("timestamp", "event_id", "record_type"):
+        rows = rows.unionByName(known.withColumn(name, F.lit(None).cast(known.schema[name].dataType)))
+    rows = rows.unionByName(known)
+    for given, count in ((rows, 5), (known.limit(0), 0)):
+        path = new_path(spark, "awkward")
+        event_table.write_event_table(given, path, by_service=True)
+        if count:
+            assert event_table.read_event_table(spark, path).count() == count
