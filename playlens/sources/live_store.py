@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from playlens.functions.places import with_place
 from playlens.operators import aggregates
 from playlens.session import materialise
 from playlens.sources.day_table import DAY, DayTable
@@ -66,19 +67,20 @@ def interleaved_layout(table: DataFrame, cluster_by: tuple[str, ...], first: tup
     rows = materialise(table, "unclustered")
     columns = {name: _ranked(table, name) for name in cluster_by}
     sample = rows.select(*[column.alias(name) for name, column in columns.items()]).orderBy(F.rand()).limit(SAMPLE).collect()
-    places = []
+    places, mixed_rows = [], rows
     for name, column in columns.items():
         values = sorted(row[name] for row in sample if row[name] is not None)
         limits = sorted({values[len(values) * i >> bits] for i in range(1, 1 << bits)}) if values else []
-        above = F.filter(F.array(*map(F.lit, limits)), lambda limit: limit <= column) if limits else F.array()
-        places.append(F.when(column.isNull(), 0).otherwise(F.size(above)).cast("bigint"))
+        place = f"cluster_place_{len(places)}"
+        mixed_rows = with_place(mixed_rows, place, column, F.array(*map(F.lit, limits)), len(limits))
+        places.append(F.col(place).cast("bigint"))
     mixed = [
         F.shiftleft(F.shiftright(place, bit).bitwiseAND(F.lit(1)), bit * len(places) + number)
         for bit in range(bits)
         for number, place in enumerate(places)
     ]
     order = [*first, "cluster_mix", *cluster_by]
-    mixed_rows = rows.withColumn("cluster_mix", reduce(lambda a, b: a.bitwiseOR(b), mixed))
+    mixed_rows = mixed_rows.withColumn("cluster_mix", reduce(lambda a, b: a.bitwiseOR(b), mixed)).select(*table.columns, "cluster_mix")
     return mixed_rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*table.columns)
 
 
