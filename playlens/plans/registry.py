@@ -53,7 +53,7 @@ def layer(t: Telemetry) -> LiveLayer:
     key = (t.spark.sparkContext.applicationId, t.sf_dir)
     if key not in LAYERS:
         built = LiveLayer(t.spark, new_path(t.spark, "layer"))
-        built.append_records(t.event_table)
+        built.append_records(t.spread_event_table())
         built.refresh()
         LAYERS[key] = built
     return LAYERS[key]

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playlens.operators import projections
+from playlens.session import materialise
 from playlens.sources.event_table import log_records, metric_records, span_records
 from playlens.vocabulary import DEFAULT_SERVICE
 
@@ -116,6 +117,7 @@ class Telemetry:
         self.sf_dir = sf_dir
         # Timestamps without zone hold UTC, so formatting and truncation must not shift them.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        self._stored = event_table
         if event_table is not None:
             self.event_table = event_table
 
@@ -136,15 +138,16 @@ class Telemetry:
     @cached_property
     def event_table(self) -> DataFrame:
         """Spans, metrics and logs of one service, and some spans and metrics of another, as stored records."""
-        spans = self.bound(SPANS)
-        other = spans.where(F.col("event_id") % 7 == 0)
-        return (
-            span_records(span_attributes(spans), DEFAULT_SERVICE)
-            .unionByName(metric_records(self.bound(METRICS), DEFAULT_SERVICE))
-            .unionByName(log_records(self.bound(LOGS), DEFAULT_SERVICE))
-            .unionByName(span_records(span_attributes(other), OTHER_SERVICE))
-            .unionByName(metric_records(self.bound(OTHER_METRICS), OTHER_SERVICE))
-        )
+        return records_of(self.events)
+
+    def spread_event_table(self) -> DataFrame:
+        """The rows of the event table, from events that are dealt over tasks first, whatever files they come in.
+
+        Records are much more work than the events they come from, and a task reads no less than a row group.
+        """
+        if self._stored is not None:
+            return self._stored
+        return records_of(materialise(self.events.repartition(*self.events.columns), "events"))
 
     @cached_property
     def spans(self) -> DataFrame:
@@ -181,6 +184,19 @@ class Telemetry:
         return self.bound(MIXED_REQUESTS)
 
 
+def records_of(events: DataFrame) -> DataFrame:
+    """The event table of ``events``."""
+    spans = bind(SPANS, events)
+    other = spans.where(F.col("event_id") % 7 == 0)
+    return (
+        span_records(span_attributes(spans), DEFAULT_SERVICE)
+        .unionByName(metric_records(bind(METRICS, events), DEFAULT_SERVICE))
+        .unionByName(log_records(bind(LOGS, events), DEFAULT_SERVICE))
+        .unionByName(span_records(span_attributes(other), OTHER_SERVICE))
+        .unionByName(metric_records(bind(OTHER_METRICS, events), OTHER_SERVICE))
+    )
+
+
 def span_attributes(spans: DataFrame) -> DataFrame:
     """The flat columns packed into a map of text attributes, as a producer sends them."""
     names = {

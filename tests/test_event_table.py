@@ -120,3 +120,21 @@ def test_awkward_records_are_stored_whole(spark):
         event_table.write_event_table(given, path, by_service=True)
         if count:
             assert event_table.read_event_table(spark, path).count() == count
+
+
+def test_events_are_dealt_before_records_are_built(spark, tmp_path):
+    """Events of one file and row group become records in many tasks; rows are the same."""
+    fields = ["event_id", "timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, event_id) AS ts", "event_id % 9 AS user_id"]
+    fields += ["'view' AS event_type", "1.5D AS value", "concat('{\"k\": ', event_id % 7, '}') AS props"]
+    events = spark.range(400).withColumnRenamed("id", "event_id").selectExpr(*fields)
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    telemetry = Telemetry(spark, str(tmp_path))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spread = telemetry.spread_event_table()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spread.where("record_type = 'LOG'").select(F.input_file_name()).distinct().count()
+    assert files > 1
+    plain = lambda rows: sorted(map(str, rows.select("event_id", "timestamp", "record_type", F.to_json("record_attributes"), F.to_json("resource_attributes")).collect()))
+    assert plain(spread) == plain(telemetry.event_table)
+    given = Telemetry(spark, str(tmp_path), event_table=spread)
+    assert given.spread_event_table() is spread
