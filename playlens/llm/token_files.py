@@ -249,7 +249,8 @@ def write_token_files(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), common.whole_text().cast("binary").alias("raw")
     )
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "raw").withColumn("part", F.spark_partition_id())
-    ordered.mapInArrow(shards, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
+    with common.text_batches(docs.sparkSession):
+        ordered.mapInArrow(shards, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def _with_places(shards: DataFrame) -> DataFrame:

@@ -12,8 +12,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -131,6 +133,18 @@ def test_token_files_equal_the_library_and_answer_by_key(spark, docs, rows):
     assert found == {key: by_key[key] for key in keys if key in by_key}
 
 
+def test_token_files_take_few_whole_texts_at_once(spark, docs, monkeypatch):
+    """Whole texts reach Python in small batches; the session's own setting is as it was afterwards."""
+    name, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], DataFrameWriter.parquet
+    before = spark.conf.get(name)
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (seen.append(spark.conf.get(name)), write(self, *a, **k))[1])
+    token_files.write_token_files(docs, new_path(spark, "few"))
+    assert int(seen[0]) <= common.TEXT_ROWS and spark.conf.get(name) == before
+    with common.text_batches(spark, 3):
+        sizes = spark.range(20, numPartitions=1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        assert max(row.n for row in sizes.collect()) <= 3
+
+
 def test_token_files_of_an_empty_table(spark):
     assert token_files.token_files(frame(spark, []))[1].count() == 0
 
