@@ -16,6 +16,8 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of one Arrow batch while whole texts travel; a batch is the most a Python worker holds.
 TEXT_ROWS = 200
+#: Rows of a stored file, where the number of rows is known and they are numbers.
+ROWS_A_FILE = 25_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +73,17 @@ def store(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_few(df: DataFrame, name: str, rows: int, costly: bool = False) -> DataFrame:
+    """``store`` for at most ``rows`` rows: in no more files than they fill, since the folders and files of a write cost more than
+    few rows do. The last stage has as many tasks as files then, unless it is ``costly``: its rows are dealt out anew."""
+    files = max(1, -(-rows // ROWS_A_FILE))
+    if not costly:
+        df = df.coalesce(files)
+    elif files < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        df = df.repartition(files)
+    return store(df, name)
+
+
 def sampled(key: Column, share: float) -> Column:
     """Whether a row is in a sample of this share of the keys, by all bits of their hash, so that no share is too small."""
     return F.shiftrightunsigned(F.xxhash64(key), 1) <= F.lit(min((1 << 63) - 1, int(share * (1 << 63))))

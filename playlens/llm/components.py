@@ -28,19 +28,19 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
     return hung.filter(F.col("u") != F.col("v")).distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v); the root is the least node of its component.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014) end when the edges no longer
-    change: every node then hangs on its root. Each round is a written table.
+    change: every node then hangs on its root. Each round is a written table; no round has more edges than the one before.
+    ``rows``, if known, is the number of rows of ``edges``.
     """
-    now = common.store(
-        edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
-    )
-    mark = None
+    now = edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now = common.store(now, "edges") if rows is None else common.store_few(now, "edges", rows)
+    most, mark = now.count(), None
     while True:
-        now = common.store(_stars(now, small=False), "large_star")
-        now = common.store(_stars(now, small=True), "small_star")
+        now = common.store_few(_stars(now, small=False), "large_star", most)
+        now = common.store_few(_stars(now, small=True), "small_star", most)
         row = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if tuple(row) == mark:
             break
