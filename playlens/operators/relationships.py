@@ -56,6 +56,8 @@ def join_relationship(left: DataFrame, right: DataFrame, on: list[str], *, salts
 
     Each side is read once and nothing runs before the result is asked for. The rows of a key that holds much of the left
     side, equal ones too, are dealt in turn over ``salts`` tasks; 1 leaves them together and the right side as it is.
+    Both sides are sorted and merged: a stored right side is judged by its packed size, without the repetition, so it would be
+    gathered in the driver however many keys it has.
     """
     left, right = _complete(left, on), _complete(right, on)
     others = [name for name in right.columns if name not in on]
@@ -65,4 +67,4 @@ def join_relationship(left: DataFrame, right: DataFrame, on: list[str], *, salts
     single = rows.where(F.assert_true(F.col("__n") == 1, F.lit(fault)).isNull()).select(*on, *kept)
     salted = single.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     dealt = left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-    return dealt.join(salted, [*on, "__salt"]).drop("__salt")
+    return dealt.join(salted.hint("merge"), [*on, "__salt"]).drop("__salt")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import plan_of
 from playlens.operators.relationships import check_cardinality, check_primary_key, join_relationship
 
 LEFT = "id bigint, k string, j string"
@@ -25,6 +26,16 @@ def test_equal_rows_are_dealt_over_the_salts(spark, salts):
     assert join_relationship(left, right, ["k", "j"], salts=salts).count() == 60
 
 
+def test_the_repeated_right_side_is_not_gathered_in_the_driver(spark, tmp_path):
+    """A stored right side of many keys is small when packed; eight times as many rows were broadcast."""
+    spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("k"), F.lit("x").alias("j"), F.col("id").alias("v")).write.parquet(f"{tmp_path}/right")
+    right = spark.read.parquet(f"{tmp_path}/right")
+    left = spark.createDataFrame([(i, f"k{i * 7}", "x") for i in range(3000)], LEFT)
+    got = join_relationship(left, right, ["k", "j"])
+    assert {(r.id, r.v) for r in got.collect()} == {(i, i * 7) for i in range(20_000 // 7 + 1)}
+    assert "Broadcast" not in plan_of(got) and "SortMergeJoin" in plan_of(got)
+
+
 def test_many_to_many_is_refused(spark):
     right = spark.createDataFrame([("a", "x", 1), ("a", "x", 2)], RIGHT)
     left = spark.createDataFrame([(1, "a", "x")], LEFT)
