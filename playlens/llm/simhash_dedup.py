@@ -101,11 +101,14 @@ def keep_first(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie")
     chosen = rooted.groupBy("root").agg(F.min(order).alias("best"))
     # Plain equality on keys without nulls: the join's partitioning then serves the removal of repeated rows as well.
+    # Whether there is an id is a key of its own, as any number can be one.
     key = F.coalesce(F.col("best.doc_id"), F.lit(NO_ID)).alias("__kept_id")
-    chosen = chosen.select(key, F.col("best.tie").alias("__kept_tie")).hint("merge")
-    own_id, own_tie = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.xxhash64(common.whole_text())
-    rows = docs.join(chosen, (own_id == F.col("__kept_id")) & (own_tie == F.col("__kept_tie")))
-    return rows.dropDuplicates(["__kept_id", "__kept_tie"]).drop("__kept_id", "__kept_tie")
+    chosen = chosen.select(F.col("best.unnamed").alias("__kept_unnamed"), key, F.col("best.tie").alias("__kept_tie")).hint("merge")
+    own_id, own_tie = docs["doc_id"].cast("long"), F.xxhash64(common.whole_text())
+    same_id = (own_id.isNull() == F.col("__kept_unnamed")) & (F.coalesce(own_id, F.lit(NO_ID)) == F.col("__kept_id"))
+    rows = docs.join(chosen, same_id & (own_tie == F.col("__kept_tie")))
+    keys = ["__kept_unnamed", "__kept_id", "__kept_tie"]
+    return rows.dropDuplicates(keys).drop(*keys)
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
